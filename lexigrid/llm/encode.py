@@ -76,21 +76,31 @@ class Encoder:
             self.kind = "shut"
         self.words = _Words(self.tokenizer, self.kind == "shut")
 
-    def one(self, text: str) -> bytes:
-        if not text:
-            return b""
+    def pieces(self, text: str) -> list[str] | None:
+        """The text in pieces that no pre-token crosses, nothing left out; None where the library must see it whole."""
+        if self.kind != "open":
+            return None
+        return self._cut(text)
+
+    def _cut(self, text: str) -> list[str] | None:
         try:
             raw = text.encode("latin-1")
             plain, odd = True, len(raw.translate(None, _ODD_BYTES)) < len(raw)
         except UnicodeEncodeError:
             plain, odd = False, _ODD.search(text)
         if odd or not self.kind:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return None
         fine = plain and "'" not in text
         if self.kind == "open":
-            pieces = (_OPEN if fine else _GLUED).findall(text)
-        else:
-            pieces = _SHUT.findall(text.lower()) if fine else _BARE.findall(text)
+            return (_OPEN if fine else _GLUED).findall(text)
+        return _SHUT.findall(text.lower()) if fine else _BARE.findall(text)
+
+    def one(self, text: str) -> bytes:
+        if not text:
+            return b""
+        pieces = self._cut(text)
+        if pieces is None:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         return b"".join(map(self.words.__getitem__, pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from . import packing, tokenfile
+from . import attribution, decontaminate, licenses, lm, packing, pii, quality, simhash, substring, tokenfile
 
 QUERIES = {
+    "op1_lm_scoring": lm.op1,
+    "op2_pii": pii.op2,
+    "op3_substring_dedup": substring.op3,
+    "op4_token_counts": attribution.op4,
     "op5_token_files": tokenfile.op5,
+    "op6_license_scan": licenses.op6,
+    "op7_quality_rules": quality.op7,
     "op8_packing": packing.op8,
+    "op9_decontamination": decontaminate.op9,
+    "op10_simhash": simhash.op10,
 }
 
 ORACLES: dict[str, str] = {}
