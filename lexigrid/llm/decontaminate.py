@@ -33,8 +33,8 @@ def myers(pattern: str, text: str, limit: int) -> tuple[int, int]:
     masks: dict[str, int] = {}
     for i, c in enumerate(pattern):
         masks[c] = masks.get(c, 0) | 1 << i
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    up, down, score, best, end = full, 0, m, limit + 1, -1
+    full, top = (1 << m) - 1, 1 << max(0, m - 1)
+    up, down, score, best, end = full, 0, m, *((m, 0) if m <= limit else (limit + 1, -1))
     for j, c in enumerate(text):
         eq = masks.get(c, 0)
         xv = eq | down
