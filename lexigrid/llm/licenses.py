@@ -35,16 +35,73 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
-}
+    "MIT": (
+        "Permission is hereby granted, free of charge, to any person "
+        "obtaining a copy of this software and associated documentation "
+        'files (the "Software"), to deal in the Software without '
+        "restriction, including without limitation the rights to use, "
+        "copy, modify, merge, publish, distribute, sublicense, and/or "
+        "sell copies of the Software, and to permit persons to whom the "
+        "Software is furnished to do so, subject to the following "
+        "conditions: The above copyright notice and this permission "
+        "notice shall be included in all copies or substantial portions "
+        "of the Software."
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software "
+        "for any purpose with or without fee is hereby granted, provided "
+        "that the above copyright notice and this permission notice "
+        "appear in all copies."
+    ),
+    "Apache-2.0": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); '
+        "you may not use this file except in compliance with the License. "
+        "You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
+        "applicable law or agreed to in writing, software distributed "
+        'under the License is distributed on an "AS IS" BASIS, WITHOUT '
+        "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+    ),
+    "GPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or "
+        "modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation, either version 3 of "
+        "the License, or (at your option) any later version."
+    ),
+    "GPL-2.0-or-later": (
+        "This program is free software; you can redistribute it and/or "
+        "modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation; either version 2 of "
+        "the License, or (at your option) any later version."
+    ),
+    "LGPL-2.1-or-later": (
+        "This library is free software; you can redistribute it and/or "
+        "modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation; either "
+        "version 2.1 of the License, or (at your option) any later "
+        "version."
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla "
+        "Public License, v. 2.0. If a copy of the MPL was not distributed "
+        "with this file, You can obtain one at "
+        "http://mozilla.org/MPL/2.0/."
+    ),
+    "BSD": (
+        "Redistribution and use in source and binary forms, with or "
+        "without modification, are permitted provided that the following "
+        "conditions are met: Redistributions of source code must retain "
+        "the above copyright notice, this list of conditions and the "
+        "following disclaimer."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public "
+        "domain. Anyone is free to copy, modify, publish, use, compile, "
+        "sell, or distribute this software, either in source code form or "
+        "as a compiled binary, for any purpose, commercial or non- "
+        "commercial, and by any means."
+    ),
+}
 
 
 def words_of(raw: bytes) -> list[bytes]:
