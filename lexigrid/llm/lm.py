@@ -11,7 +11,7 @@ from the target's class) is told from the data by logistic regression. The model
 sample (`WARM` documents) on the driver; then every task trains on all training tokens that it holds, and
 the tasks' parameters are averaged by their tokens, in two levels of running sums.
 
-Counts cover the whole corpus. The `HEAD` most frequent tokens' counts are sent to the tasks (a bounded
+Counts cover the whole corpus. Up to `HEAD` most frequent tokens' counts are sent to the tasks (a bounded
 table); the other tokens meet their counts in a join.
 
 Nulls: a null text is empty (one token, the end); a null doc_id counts as the empty text for the split;
@@ -304,6 +304,24 @@ def averaged(train: DataFrame, vocabulary, start: np.ndarray) -> np.ndarray:
     return np.frombuffer(row.sums) / row.tokens if row else start
 
 
+def most_frequent(counts: DataFrame, most: int) -> list:
+    """The tokens of the highest counts, at most `most`, by falling count.
+
+    A histogram of counts in steps of two per cent (at most some thousand rows) gives the least count
+    to take, so no task sends more than rows of the result.
+    """
+    step = F.floor(F.ln("c") * 50)
+    total, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.s):
+        total += r.n
+        if total > most:
+            break
+        least = r.s
+    if least is None:
+        return []
+    return sorted(counts.where(step >= least).collect(), key=lambda r: (-r.c, bytes(r.token)))
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
@@ -311,7 +329,7 @@ def score(docs: DataFrame) -> DataFrame:
     train = docs.where(~F.col("held_out"))
     counts = token_counts(train)
     n_types, n_tokens = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    head = counts.orderBy(F.desc("c"), "token").limit(HEAD).collect()
+    head = most_frequent(counts, HEAD)
     v = Vocabulary([bytes(r.token) for r in head], [r.c for r in head], int(n_tokens), int(n_types))
     model = Model(v)
     warm = [(r.text or "").encode() for r in train.select(F.left("text", F.lit(20_000)).alias("text")).limit(WARM).collect()]
