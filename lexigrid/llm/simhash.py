@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
 
@@ -214,8 +215,8 @@ def fingerprint_links(folded: DataFrame, radius: int = RADIUS) -> DataFrame:
     return common.map_arrow(rows, run, "fp long, near long, root long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, n_near, component_id for each row of docs(doc_id, text)."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, n_near, component_id, root (a fingerprint that names the component) for each row of docs."""
     each = common.written(fingerprints(docs), "fingerprints")
     folded = each.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"))
     links = common.written(fingerprint_links(folded.select("fp", "n")), "links")
@@ -224,26 +225,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = folded.join(near, "fp", "left").join(comp.withColumnRenamed("node", "fp"), "fp", "left")
     linked = known.where("root is not null")
     lows = linked.groupBy("root").agg(F.min("low").alias("component"))
-    linked = linked.join(lows, "root").select("fp", "n", "near", "component")
-    alone = known.where("root is null").select("fp", "n", "near", F.col("low").alias("component"))
-    known = alone.unionByName(linked)
-    return each.join(known, "fp").select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        (F.col("n") - 1 + F.coalesce("near", F.lit(0))).cast("long").alias("n_near"),
-        F.col("component").alias("component_id"),
-    )
+    linked = linked.join(lows, "root").select("fp", "n", "near", "component", "root")
+    alone = known.where("root is null").select("fp", "n", "near", F.col("low").alias("component"), F.col("fp").alias("root"))
+    n_near = (F.col("n") - 1 + F.coalesce("near", F.lit(0))).cast("long")
+    return each.join(alone.unionByName(linked), "fp").select("doc_id", "fp", n_near.alias("n_near"), F.col("component").alias("component_id"), "root")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, n_near, component_id for each row of docs(doc_id, text)."""
+    return _grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the near-duplicates: of each component the row with the smallest doc_id (of equal rows one) stays.
+    """docs, all columns, with one row of each component: that with the smallest doc_id; rows without one stay only where all of the component are such.
 
-    A row without a doc_id stays unless an equal text or its component has one that stays.
+    Rows whose doc_id others have too (or none) are told apart by their fingerprints, and of several such
+    rows of a component the one with the least text hash stays.
     """
-    found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    found = common.written(_grouped(docs), "groups")
+    # null ids count as repeated, so the joins below are by plain equality
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).join(repeated, "__id", "left_anti")
+    plain = docs.join(keep, docs["doc_id"] == keep["__id"], "left_semi")
+    doubtful = docs.join(repeated, docs["doc_id"] == repeated["__id"], "left_semi").unionByName(docs.where("doc_id is null"))
+    at, schema = docs.columns.index("text"), StructType([*docs.schema.fields, StructField("__fp", LongType())])
+
+    def add(batches):
+        for b in batches:
+            fp = np.array([fingerprint(x) for x in common.raw_texts(b.column(at))], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], names=schema.names)
+
+    marked = common.map_arrow(doubtful, add, schema)
+    marked = marked.select(F.struct(*[marked[c] for c in docs.columns]).alias("row"), F.col("__fp").alias("fp"), F.col("doc_id").cast("long").alias("id"))
+    roots = found.select("fp", "root", "component_id").distinct()
+    chosen = marked.join(roots, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    chosen = chosen.groupBy("root").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
+    return plain.unionByName(chosen.select("row.*"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
