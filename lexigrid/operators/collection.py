@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -105,6 +105,15 @@ def write_cluster(index: Index, shards: DataFrame, path: str) -> None:
     index.properties.write.parquet(f"{path}/properties")
 
 
+def open_cluster(spark: SparkSession, path: str, only: list[int] | None = None) -> dict[str, DataFrame]:
+    """The tables of write_cluster(); with `only`, postings and documents of these shards (other partitions aren't read)."""
+    tables = {n: spark.read.parquet(f"{path}/{n}") for n in ("postings", "documents", "shard_properties", "lexicon", "properties")}
+    if only is not None:
+        for n in ("postings", "documents"):
+            tables[n] = tables[n].where(F.col("shard_id").isin(only))
+    return tables
+
+
 def shard_scored(index: Index, shards: DataFrame, queries: DataFrame, score: str = "bm25") -> DataFrame:
     """shard_id, term, doc_id, score by the shard's own statistics, of the queries' terms."""
     from lexigrid.functions.scoring import scorer

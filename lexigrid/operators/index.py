@@ -162,3 +162,15 @@ def quantized(scored: DataFrame, bits: int) -> DataFrame:
     ends = score_range(scored)
     q: Column = quantize(F.col("score"), F.col("min"), F.col("max"), 1, (1 << bits) - 1)
     return scored.crossJoin(F.broadcast(ends)).select("term", "doc_id", q.alias("q"))
+
+
+def add_quantized(index: Index, function: str, bits: int) -> str:
+    """Quantised scores of a function as `<function>-<bits>` among the index's scores, written; their name."""
+    name = f"{function}-{bits}"
+    index.scores[name] = written(quantized(index.scored(function), bits).sortWithinPartitions("term", "doc_id"), f"scores-{name}")
+    return name
+
+
+def max_scores(scores: DataFrame) -> DataFrame:
+    """term, max_q: of each term the greatest quantised score."""
+    return scores.groupBy("term").agg(F.max("q").alias("max_q"))

@@ -400,6 +400,11 @@ def _(spark, d):
     return quantized(spark, d)
 
 
+@query("max_scores_bm25_8", "quant", "SELECT term, max(q) AS max_q FROM quant GROUP BY term")
+def _(spark, d):
+    return ix_.max_scores(quantized(spark, d))
+
+
 for _name in ("bm25", "ql"):
 
     @query(f"scorestats_{_name}", _name, f'SELECT term, round(max(score), 4) AS "max", round(avg(score), 4) AS mean, round(var_pop(score), 4) AS "var" FROM {_name} GROUP BY term')

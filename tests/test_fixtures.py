@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexigrid.functions import analysis, scoring
 from lexigrid.operators import collection, evaluation, retrieval
 from lexigrid.operators import index as ix_
-from lexigrid.sources import text
+from lexigrid.sources import properties, text
 from lexigrid.streaming import incremental
 
 
@@ -131,7 +131,7 @@ def test_merge_equals_whole(spark):
 
 
 def test_save_and_load(spark, small, tmp_path):
-    small.scores["bm25-8"] = ix_.quantized(small.scored("bm25"), 8)
+    assert ix_.add_quantized(small, "bm25", 8) == "bm25-8" and ix_.max_scores(small.scores["bm25-8"]).count() == 3
     small.save(str(tmp_path / "ix"))
     again = ix_.Index.load(spark, str(tmp_path / "ix"), ("bm25-8",))
     q = spark.createDataFrame([(0, 0, "b")], "qid long, pos int, term string")
@@ -148,6 +148,9 @@ def test_cluster_on_disk(spark, small, tmp_path):
     back = spark.read.parquet(str(tmp_path / "c/postings"))
     assert rows(back, "term", "doc_id", "tf") == rows(small.postings, "term", "doc_id", "tf")
     assert back.where("shard_id = 1").count() == 2
+    opened = collection.open_cluster(spark, str(tmp_path / "c"), [1])
+    assert opened["postings"].count() == 2 and opened["documents"].first().local_doc_id == 0 and opened["lexicon"].count() == 3
+    assert "PartitionFilters: [isnotnull(shard_id" in opened["postings"]._jdf.queryExecution().toString()
 
 
 def test_line_filter_and_parts(spark):
@@ -245,3 +248,15 @@ def test_stream(spark, tmp_path):
 def test_pushdown(spark, small):
     plan = ix_.postings_of(small, ["a", "b"])._jdf.queryExecution().toString()
     assert "PushedFilters: [In(term, [a,b])]" in plan
+
+
+def test_properties_json(spark):
+    p = {"documents": 10000, "occurrences": 654321, "skip_block_size": 64, "avg_document_size": 55.5, "max_document_size": 20123, "quantized_scores": {"bm25-8": {"type": "bm25", "bits": 8, "min": 0, "max": 25.1}, "bm25-24": {"type": "bm25", "bits": 24, "min": 0, "max": 25.1}}}
+    got = properties.from_json(properties.to_json(p))
+    assert got == p | {"shard_count": None}
+    row = properties.to_table(spark, got).first()
+    assert row.documents == 10000 and row.quantized_scores["bm25-24"].bits == 24 and row.shard_count is None
+    with pytest.raises(ValueError):
+        properties.from_json("{}")
+    p["quantized_scores"]["x"] = {"type": "unknown", "bits": 1, "min": 0, "max": 1}
+    assert "x" not in properties.from_json(properties.to_json(p | {"shard_count": 3}))["quantized_scores"]
