@@ -337,9 +337,9 @@ def _(spark, d):
     return ix_.query_postings(index(spark, d), log(spark, d)).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("posting_nextgeq", "q post", "SELECT term, min(doc_id) AS doc_id, CAST(arg_min(tf, doc_id) AS INTEGER) AS tf FROM post WHERE doc_id >= 500 AND term IN (SELECT term FROM q) GROUP BY term")
+@query("posting_nextgeq", "q post", "SELECT term, min(doc_id) AS doc_id, CAST(arg_min(tf, doc_id) AS INTEGER) AS tf FROM post WHERE doc_id >= 100 AND term IN (SELECT term FROM q) GROUP BY term")
 def _(spark, d):
-    return ix_.next_posting(index(spark, d), vocabulary(spark, d), 500)
+    return ix_.next_posting(index(spark, d), vocabulary(spark, d), 100)
 
 
 @query("posting_lookup", "q post", "SELECT DISTINCT qid, term, doc_id, CAST(tf AS INTEGER) AS tf FROM q JOIN post USING (term) WHERE doc_id = qid")
@@ -407,7 +407,7 @@ def _(spark, d):
 
 for _name in ("bm25", "ql"):
 
-    @query(f"scorestats_{_name}", _name, f'SELECT term, round(max(score), 4) AS "max", round(avg(score), 4) AS mean, round(var_pop(score), 4) AS "var" FROM {_name} GROUP BY term')
+    @query(f"scorestats_{_name}", _name, f'SELECT term, round(CAST(CAST(max(score) AS FLOAT) AS DOUBLE), 4) AS "max", round(CAST(CAST(avg(score) AS FLOAT) AS DOUBLE), 4) AS mean, round(CAST(CAST(var_pop(score) AS FLOAT) AS DOUBLE), 4) AS "var" FROM {_name} GROUP BY term')
     def _(spark, d, name=_name):
         stats = ix_.score_stats(index(spark, d).scored(name))
         return stats.select("term", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("max", "mean", "var")])
