@@ -7,7 +7,7 @@ batches of matrix products give proper log-probabilities. Words beyond the `WORD
 unit, within which a word has its add-one share of the training tokens that fall there.
 
 Noise-contrastive estimation needs no normaliser: drawn noise (of classes, shared by a batch; of words,
-from the target's class) is told from the data by logistic regression. The model starts from a bounded
+from the target's class, shared by the batch's targets of that class) is told from the data by logistic regression. The model starts from a bounded
 sample (`WARM` documents) on the driver; then every task trains on all training tokens that it holds, and
 the tasks' parameters are averaged by their tokens, in two levels of running sums.
 
@@ -36,7 +36,7 @@ CLASSES, CONTEXT, DIM = 32, 3, 16
 WORDS = CLASSES * CLASSES - 1
 HEAD, HELD, WARM = 150_000, 500_000, 300
 BUCKETS = 256
-BATCH, NOISE, WORD_NOISE = 2048, 16, 4
+BATCH, NOISE, WORD_NOISE = 4096, 16, 16
 END = b""
 
 
@@ -55,7 +55,7 @@ class Vocabulary:
         self.other = n  # the unit of all other words
         self.unit = np.minimum(np.arange(len(tokens) + 1), n).astype(np.int32)
         self.unit[-1] = n
-        self.context = self.unit.copy()
+        self.context = self.unit.astype(np.int32)
         for i in range(n, len(tokens)):
             self.context[i] = n + 1 + bucket(tokens[i])
         self.bos = n + 1 + BUCKETS
@@ -87,12 +87,12 @@ class Vocabulary:
 
     def contexts(self, ids: np.ndarray, at: np.ndarray, words: list[list[bytes]]) -> np.ndarray:
         """The context ids before each token, nearest first; each text begins anew."""
-        c = self.context[ids].astype(np.int64)
+        c = self.context[ids]
         miss = np.flatnonzero(ids == len(self.count) - 1)
         if len(miss):
             doc = np.searchsorted(at, miss, side="right") - 1
             c[miss] = [self.other + 1 + (bucket(words[d][k]) if k < len(words[d]) else 0) for d, k in zip(doc.tolist(), (miss - at[doc]).tolist())]
-        out = np.full((CONTEXT, len(ids)), self.bos)
+        out = np.full((CONTEXT, len(ids)), self.bos, dtype=np.int32)
         since = np.arange(len(ids)) - np.repeat(at[:-1], np.diff(at))
         for k in range(CONTEXT):
             out[k, k + 1 :] = c[: len(c) - k - 1]
@@ -140,7 +140,7 @@ class Model:
             s = h @ self.klass.T + self.klass_bias
             k = y // CLASSES
             got = (s[np.arange(len(y)), k] - _log_sum(s)).astype(np.float64)
-            order = np.argsort(k, kind="stable")
+            order = np.argsort(k.astype(np.uint8), kind="stable")
             bounds = np.searchsorted(k[order], np.arange(CLASSES + 1))
             for c in range(CLASSES):
                 at = order[bounds[c] : bounds[c + 1]]
@@ -153,26 +153,30 @@ class Model:
 
 
 def _log_sum(s: np.ndarray) -> np.ndarray:
-    top = s.max(axis=1)
+    top = s.max()
+    total = np.exp(s - top).sum(axis=1)
+    if total.min() > 1e-30:
+        return top + np.log(total)
+    top = s.max(axis=1)  # rows far below the greatest score
     return top + np.log(np.exp(s - top[:, None]).sum(axis=1))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+    return 1.0 / (1.0 + np.exp(np.minimum(-x, 30)))
 
 
-def _add(target: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the gradients of equal rows."""
-    order = np.argsort(rows, kind="stable")
+def _groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows, an order that gathers equal ones (a radix sort), and where each begins in it."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
     r = rows[order]
-    first = np.concatenate(([0], np.flatnonzero(np.diff(r)) + 1))
-    return r[first], np.add.reduceat(grad[order], first, axis=0)
+    first = np.concatenate(([0], np.flatnonzero(r[1:] != r[:-1]) + 1))
+    return r[first], order, first
 
 
 class Trainer:
     """Noise-contrastive steps with AdaGrad."""
 
-    def __init__(self, model: Model, vocabulary: Vocabulary, seed: int, rate: float = 0.1):
+    def __init__(self, model: Model, vocabulary: Vocabulary, seed: int, rate: float = 0.2):
         self.m, self.rate, self.rng = model, rate, np.random.default_rng(seed)
         p = vocabulary.classes
         self.q_class = p.sum(axis=1)
@@ -185,15 +189,24 @@ class Trainer:
         self.draw = (np.arange(CLASSES)[:, None] * 2 + self.cum).ravel()
         self.squares = {n: np.full(getattr(model, n).shape[:1], 1.0, dtype=np.float32) if getattr(model, n).ndim == 2 else np.full(getattr(model, n).shape, 1.0, dtype=np.float32) for n in Model.NAMES}
 
-    def _update(self, name: str, rows: np.ndarray, grad: np.ndarray) -> None:
-        rows, g = _add(getattr(self.m, name), rows, grad)
-        sq = self.squares[name]
-        sq[rows] += (g * g).mean(axis=1) if g.ndim == 2 else g * g
-        step = self.rate / np.sqrt(sq[rows])
-        getattr(self.m, name)[rows] += (step[:, None] if g.ndim == 2 else step) * g
+    def _update(self, rows: np.ndarray, *named: tuple[str, np.ndarray]) -> None:
+        """AdaGrad steps of arrays that share their rows, with the gradients of equal rows summed."""
+        rows, order, first = _groups(rows)
+        for name, grad in named:
+            g = np.add.reduceat(grad[order], first, axis=0)
+            target, sq = getattr(self.m, name), self.squares[name]
+            if g.ndim == 2:
+                new = sq[rows] + np.einsum("nd,nd->n", g, g) / DIM
+                target[rows] += g * (self.rate / np.sqrt(new))[:, None]
+            else:
+                new = sq[rows] + g * g
+                target[rows] += g * (self.rate / np.sqrt(new))
+            sq[rows] = new
 
     def step(self, contexts: np.ndarray, place: np.ndarray) -> None:
-        m, n = self.m, len(place)
+        m = self.m
+        order = np.argsort((place // CLASSES).astype(np.uint8), kind="stable")  # classes lie together
+        contexts, place = contexts[:, order], place[order]
         parts = [m.context[contexts[k]] for k in range(CONTEXT)]
         h = parts[0] * m.scale[0]
         for k in range(1, CONTEXT):
@@ -206,25 +219,28 @@ class Trainer:
         neg = h @ m.klass[z].T + m.klass_bias[z] - self.log_q_class[z] - ln
         g_pos, g_neg = (1 - _sigmoid(pos)).astype(np.float32), (-_sigmoid(neg)).astype(np.float32)
         dh = g_pos[:, None] * m.klass[y] + g_neg @ m.klass[z]
-        # words: noise from the target's class
-        u = self.rng.random((n, WORD_NOISE))
-        w = np.searchsorted(self.draw, y[:, None] * 2 + u, side="right").clip(max=CLASSES * CLASSES - 1)
+        # words: noise from the target's class, shared by the class's targets in the batch
+        u = self.rng.random((CLASSES, WORD_NOISE))
+        w = np.searchsorted(self.draw, np.arange(CLASSES)[:, None] * 2 + u, side="right").clip(max=CLASSES * CLASSES - 1)
         lw = np.float32(np.log(WORD_NOISE))
-        target = m.word[place]
-        noise = m.word[w]
-        wp = np.einsum("nd,nd->n", h, target) + m.word_bias[place] - self.log_q_word[place] - lw
-        wn = np.einsum("nd,nkd->nk", h, noise) + m.word_bias[w] - self.log_q_word[w] - lw
+        target, noise = m.word[place], m.word[w]
+        wp = np.einsum("nd,nd->n", h, target) + (m.word_bias - self.log_q_word)[place] - lw
+        bounds = np.searchsorted(y, np.arange(CLASSES + 1))
+        parts_of = [(c, slice(bounds[c], bounds[c + 1])) for c in range(CLASSES) if bounds[c + 1] > bounds[c]]
+        wn = ((m.word_bias - self.log_q_word)[w] - lw)[y]
+        for c, at in parts_of:
+            wn[at] += h[at] @ noise[c].T
         gw, gn = (1 - _sigmoid(wp)).astype(np.float32), (-_sigmoid(wn)).astype(np.float32)
-        dh += gw[:, None] * target + np.einsum("nk,nkd->nd", gn, noise)
-        rows = np.concatenate((y, z))
-        self._update("klass", rows, np.concatenate((g_pos[:, None] * h, g_neg.T @ h)))
-        self._update("klass_bias", rows, np.concatenate((g_pos, g_neg.sum(axis=0))))
-        rows = np.concatenate((place, w.ravel()))
-        self._update("word", rows, np.concatenate((gw[:, None] * h, (gn[:, :, None] * h[:, None, :]).reshape(-1, DIM))))
-        self._update("word_bias", rows, np.concatenate((gw, gn.ravel())))
-        self._update("context", contexts.ravel(), np.concatenate([dh * m.scale[k] for k in range(CONTEXT)]))
-        g = np.stack([(dh * parts[k]).sum(axis=0) for k in range(CONTEXT)])
-        self._update("scale", np.arange(CONTEXT), g)
+        dh += gw[:, None] * target
+        g_noise, g_bias = np.zeros_like(noise), np.zeros(w.shape, dtype=np.float32)
+        for c, at in parts_of:
+            dh[at] += gn[at] @ noise[c]
+            g_noise[c] = gn[at].T @ h[at]
+            g_bias[c] = gn[at].sum(axis=0)
+        self._update(np.concatenate((y, z)), ("klass", np.concatenate((g_pos[:, None] * h, g_neg.T @ h))), ("klass_bias", np.concatenate((g_pos, g_neg.sum(axis=0)))))
+        self._update(np.concatenate((place, w.ravel())), ("word", np.concatenate((gw[:, None] * h, g_noise.reshape(-1, DIM)))), ("word_bias", np.concatenate((gw, g_bias.ravel()))))
+        self._update(contexts.ravel(), ("context", np.concatenate([dh * m.scale[k] for k in range(CONTEXT)])))
+        self._update(np.arange(CONTEXT), ("scale", np.stack([np.einsum("nd,nd->d", dh, parts[k]) for k in range(CONTEXT)])))
 
 
 def train_on(model: Model, vocabulary: Vocabulary, batches, seed: int) -> int:
