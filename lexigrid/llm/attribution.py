@@ -13,6 +13,8 @@ other; an empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+from struct import pack
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +34,19 @@ class _Ends(dict):
         self.e = e
 
     def __missing__(self, piece: str) -> tuple[int, bytes, bytes]:
-        offsets = self.e.tokenizer.encode(piece, add_special_tokens=False).offsets
-        a = np.array(offsets, dtype=np.int64).reshape(-1, 2)
-        out = (len(a), a[:, 0].tobytes(), a[:, 1].tobytes())
+        body = piece[1:] if piece[0] == " " else piece
+        if body.isascii() and body.isalpha():
+            # one pre-token of one-byte characters: the library's model alone tells where its tokens end
+            ends, at = [], 0
+            for t in self.e.tokenizer.model.tokenize("Ġ" + body if len(body) < len(piece) else body):
+                at += len(t.value)
+                ends.append(at)
+            n = len(ends)
+            out = (n, pack(f"<{n}q", 0, *ends[:-1]), pack(f"<{n}q", *ends))
+        else:
+            offsets = self.e.tokenizer.encode(piece, add_special_tokens=False).offsets
+            n = len(offsets)
+            out = (n, pack(f"<{n}q", *[a for a, _ in offsets]), pack(f"<{n}q", *[z for _, z in offsets]))
         if len(self) >= CACHE:
             self.clear()
         if len(piece) <= 40:
