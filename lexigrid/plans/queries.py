@@ -132,7 +132,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 # sources and text
 
 
-@query("collection_docs", "sizes", "SELECT doc_id, title, size FROM sizes")
+@query("collection_docs", "sizes", "SELECT doc_id, title, CAST(size AS INTEGER) AS size FROM sizes")
 def _(spark, d):
     return ix_.with_size(titled(spark, d))
 
@@ -247,7 +247,7 @@ def _(spark, d):
     return index(spark, d).postings.groupBy("term").agg(F.sum("tf").alias("cf"))
 
 
-@query("doc_sizes", "sizes", "SELECT doc_id, size FROM sizes")
+@query("doc_sizes", "sizes", "SELECT doc_id, CAST(size AS INTEGER) AS size FROM sizes")
 def _(spark, d):
     return index(spark, d).documents.select("doc_id", "size")
 
@@ -262,7 +262,7 @@ def _(spark, d):
     return index(spark, d).lexicon
 
 
-@query("build_nospam", "sizes", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, title, size FROM sizes WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+@query("build_nospam", "sizes", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, title, CAST(size AS INTEGER) AS size FROM sizes WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def _(spark, d):
     spam = spark.read.parquet(f"{d}/labels.parquet").where("toxic = 1").select("doc_id")
     kept = ix_.with_size(titled(spark, d).join(spam, "doc_id", "left_anti"))
