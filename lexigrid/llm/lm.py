@@ -7,7 +7,7 @@ batches of matrix products give proper log-probabilities. Words beyond the `WORD
 unit, within which a word has its add-one share of the training tokens that fall there.
 
 Noise-contrastive estimation needs no normaliser: drawn noise (of classes, shared by a batch; of words,
-from the target's class, shared by the batch's targets of that class) is told from the data by logistic regression. The model starts from a bounded
+from the target's class, for each target) is told from the data by logistic regression. The model starts from a bounded
 sample (`WARM` documents) on the driver; then every task trains on all training tokens that it holds, and
 the tasks' parameters are averaged by their tokens, in two levels of running sums.
 
@@ -36,7 +36,7 @@ CLASSES, CONTEXT, DIM = 32, 3, 16
 WORDS = CLASSES * CLASSES - 1
 HEAD, HELD, WARM = 150_000, 500_000, 300
 BUCKETS = 256
-BATCH, NOISE, WORD_NOISE = 4096, 16, 16
+BATCH, NOISE, WORD_NOISE = 2048, 16, 4
 END = b""
 
 
@@ -176,7 +176,7 @@ def _groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Trainer:
     """Noise-contrastive steps with AdaGrad."""
 
-    def __init__(self, model: Model, vocabulary: Vocabulary, seed: int, rate: float = 0.2):
+    def __init__(self, model: Model, vocabulary: Vocabulary, seed: int, rate: float = 0.1):
         self.m, self.rate, self.rng = model, rate, np.random.default_rng(seed)
         p = vocabulary.classes
         self.q_class = p.sum(axis=1)
@@ -204,9 +204,7 @@ class Trainer:
             sq[rows] = new
 
     def step(self, contexts: np.ndarray, place: np.ndarray) -> None:
-        m = self.m
-        order = np.argsort((place // CLASSES).astype(np.uint8), kind="stable")  # classes lie together
-        contexts, place = contexts[:, order], place[order]
+        m, n = self.m, len(place)
         parts = [m.context[contexts[k]] for k in range(CONTEXT)]
         h = parts[0] * m.scale[0]
         for k in range(1, CONTEXT):
@@ -219,26 +217,17 @@ class Trainer:
         neg = h @ m.klass[z].T + m.klass_bias[z] - self.log_q_class[z] - ln
         g_pos, g_neg = (1 - _sigmoid(pos)).astype(np.float32), (-_sigmoid(neg)).astype(np.float32)
         dh = g_pos[:, None] * m.klass[y] + g_neg @ m.klass[z]
-        # words: noise from the target's class, shared by the class's targets in the batch
-        u = self.rng.random((CLASSES, WORD_NOISE))
-        w = np.searchsorted(self.draw, np.arange(CLASSES)[:, None] * 2 + u, side="right").clip(max=CLASSES * CLASSES - 1)
+        # words: noise from the target's class
+        u = self.rng.random((n, WORD_NOISE))
+        w = np.searchsorted(self.draw, y[:, None] * 2 + u, side="right").clip(max=CLASSES * CLASSES - 1)
         lw = np.float32(np.log(WORD_NOISE))
         target, noise = m.word[place], m.word[w]
-        wp = np.einsum("nd,nd->n", h, target) + (m.word_bias - self.log_q_word)[place] - lw
-        bounds = np.searchsorted(y, np.arange(CLASSES + 1))
-        parts_of = [(c, slice(bounds[c], bounds[c + 1])) for c in range(CLASSES) if bounds[c + 1] > bounds[c]]
-        wn = ((m.word_bias - self.log_q_word)[w] - lw)[y]
-        for c, at in parts_of:
-            wn[at] += h[at] @ noise[c].T
+        wp = np.einsum("nd,nd->n", h, target) + m.word_bias[place] - self.log_q_word[place] - lw
+        wn = np.einsum("nd,nkd->nk", h, noise) + m.word_bias[w] - self.log_q_word[w] - lw
         gw, gn = (1 - _sigmoid(wp)).astype(np.float32), (-_sigmoid(wn)).astype(np.float32)
-        dh += gw[:, None] * target
-        g_noise, g_bias = np.zeros_like(noise), np.zeros(w.shape, dtype=np.float32)
-        for c, at in parts_of:
-            dh[at] += gn[at] @ noise[c]
-            g_noise[c] = gn[at].T @ h[at]
-            g_bias[c] = gn[at].sum(axis=0)
+        dh += gw[:, None] * target + np.einsum("nk,nkd->nd", gn, noise)
         self._update(np.concatenate((y, z)), ("klass", np.concatenate((g_pos[:, None] * h, g_neg.T @ h))), ("klass_bias", np.concatenate((g_pos, g_neg.sum(axis=0)))))
-        self._update(np.concatenate((place, w.ravel())), ("word", np.concatenate((gw[:, None] * h, g_noise.reshape(-1, DIM)))), ("word_bias", np.concatenate((gw, g_bias.ravel()))))
+        self._update(np.concatenate((place, w.ravel())), ("word", np.concatenate((gw[:, None] * h, (gn[:, :, None] * h[:, None, :]).reshape(-1, DIM)))), ("word_bias", np.concatenate((gw, gn.ravel()))))
         self._update(contexts.ravel(), ("context", np.concatenate([dh * m.scale[k] for k in range(CONTEXT)])))
         self._update(np.arange(CONTEXT), ("scale", np.stack([np.einsum("nd,nd->d", dh, parts[k]) for k in range(CONTEXT)])))
 
