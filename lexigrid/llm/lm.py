@@ -3,13 +3,14 @@
 The model predicts a token from the `CONTEXT` before it: the context's vector is a sum of word vectors,
 each scaled for its place, and a word's score is that vector's product with the word's own vector plus a
 bias. Words fall into classes by frequency; the class and then the word in its class are normalised, so
-batches of matrix products give proper log-probabilities. Words beyond the `WORDS` most frequent share one
-unit, within which a word has its add-one share of the training tokens that fall there.
+batches of matrix products give proper log-probabilities. Classes, words in a class and context buckets grow
+with the root of the training types, so each of the `HEAD` most frequent words is predicted by itself; words
+beyond them share one unit, within which a word has its add-one share of the training tokens that fall there.
 
 Noise-contrastive estimation needs no normaliser: drawn noise (of classes, shared by a batch; of words,
 from the target's class, for each target) is told from the data by logistic regression. The model starts from a bounded
 sample (`WARM` documents) on the driver; then every task trains on all training tokens that it holds, and
-the tasks' parameters are averaged by their tokens, in two levels of running sums.
+the tasks' parameters are averaged by their tokens, in pieces of a fixed size, so no task holds many tasks' models.
 
 Counts cover the whole corpus. Up to `HEAD` most frequent tokens' counts are sent to the tasks (a bounded
 table); the other tokens meet their counts in a join.
@@ -20,6 +21,7 @@ repeated rows are rows like any other; an empty table gives no rows. Other colum
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from itertools import repeat
@@ -32,17 +34,20 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: The least number of classes, and so of units and of buckets for contexts; they grow with the types.
 CLASSES, CONTEXT, DIM = 32, 3, 16
 WORDS = CLASSES * CLASSES - 1
 HEAD, HELD, WARM = 150_000, 500_000, 300
 BUCKETS = 256
+#: Parameters in one piece of the sums.
+PIECE = 1 << 14
 BATCH, NOISE, WORD_NOISE = 2048, 16, 4
 END = b""
 
 
-def bucket(token: bytes) -> int:
+def bucket(token: bytes, buckets: int = BUCKETS) -> int:
     """Of a context word beyond the vocabulary only its last letters are kept."""
-    return zlib.crc32(token[-2:]) % BUCKETS
+    return zlib.crc32(token[-2:]) % buckets
 
 
 class Vocabulary:
@@ -51,14 +56,13 @@ class Vocabulary:
     def __init__(self, tokens: list[bytes], counts: list[int], n_tokens: int, n_types: int):
         self.index = {t: i for i, t in enumerate(tokens)}
         self.count = np.append(np.array(counts, dtype=np.int64), 0)
-        n = min(len(tokens), WORDS)
+        n = len(tokens)
         self.other = n  # the unit of all other words
-        self.unit = np.minimum(np.arange(len(tokens) + 1), n).astype(np.int32)
-        self.unit[-1] = n
-        self.context = self.unit.astype(np.int32)
-        for i in range(n, len(tokens)):
-            self.context[i] = n + 1 + bucket(tokens[i])
-        self.bos = n + 1 + BUCKETS
+        self.n_classes = max(CLASSES, math.isqrt(n) + 1)
+        self.buckets = max(BUCKETS, math.isqrt(n_types))
+        self.unit = np.arange(n + 1, dtype=np.int32)
+        self.context = self.unit
+        self.bos = n + 1 + self.buckets
         self.n_contexts = self.bos + 1
         self.n_tokens, self.n_types = n_tokens, n_types
         known = int(self.count[:n].sum())
@@ -67,10 +71,10 @@ class Vocabulary:
         units = np.append(self.count[:n], max(1, n_tokens - known)).astype(np.float64)
         order = np.argsort(-units, kind="stable")
         self.place = np.empty(n + 1, dtype=np.int64)
-        self.place[order] = np.arange(n + 1)  # class = place // CLASSES
-        p = np.zeros(CLASSES * CLASSES)
+        self.place[order] = np.arange(n + 1)  # class = place // n_classes
+        p = np.zeros(self.n_classes**2)
         p[: n + 1] = units[order] / units.sum()
-        self.classes = p.reshape(CLASSES, CLASSES)
+        self.classes = p.reshape(self.n_classes, self.n_classes)
 
     def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
         """Indexes of all tokens of the texts, each with its end; where each text begins; the words."""
@@ -91,7 +95,7 @@ class Vocabulary:
         miss = np.flatnonzero(ids == len(self.count) - 1)
         if len(miss):
             doc = np.searchsorted(at, miss, side="right") - 1
-            c[miss] = [self.other + 1 + (bucket(words[d][k]) if k < len(words[d]) else 0) for d, k in zip(doc.tolist(), (miss - at[doc]).tolist())]
+            c[miss] = [self.other + 1 + (bucket(words[d][k], self.buckets) if k < len(words[d]) else 0) for d, k in zip(doc.tolist(), (miss - at[doc]).tolist())]
         out = np.full((CONTEXT, len(ids)), self.bos, dtype=np.int32)
         since = np.arange(len(ids)) - np.repeat(at[:-1], np.diff(at))
         for k in range(CONTEXT):
@@ -103,27 +107,33 @@ class Vocabulary:
 class Model:
     NAMES = ("context", "scale", "klass", "klass_bias", "word", "word_bias")
 
-    def __init__(self, vocabulary: Vocabulary, seed: int = 1):
-        rng = np.random.default_rng(seed)
+    def __init__(self, vocabulary: Vocabulary, seed: int = 1, flat: np.ndarray | None = None):
         v = vocabulary
+        n = self.n_classes = v.n_classes
+        self.shapes = dict(zip(self.NAMES, ((v.n_contexts, DIM), (CONTEXT, DIM), (n, DIM), (n,), (n * n, DIM), (n * n,))))
+        if flat is not None:
+            self.load(flat)
+            return
+        rng = np.random.default_rng(seed)
         self.context = (rng.standard_normal((v.n_contexts, DIM)) * 0.1).astype(np.float32)
+        self.context[WORDS : v.other] = 0  # a word seldom or never met in training says nothing
         self.scale = np.full((CONTEXT, DIM), 1.0, dtype=np.float32)
-        self.klass = (rng.standard_normal((CLASSES, DIM)) * 0.1).astype(np.float32)
-        self.word = (rng.standard_normal((CLASSES * CLASSES, DIM)) * 0.1).astype(np.float32)
+        self.klass = (rng.standard_normal((n, DIM)) * 0.1).astype(np.float32)
+        self.word = np.zeros((n * n, DIM), dtype=np.float32)  # and keeps its share of its class
         p = v.classes
         with np.errstate(divide="ignore"):
             self.klass_bias = np.maximum(np.log(p.sum(axis=1)), -30).astype(np.float32)
             self.word_bias = np.maximum(np.log(p / np.maximum(p.sum(axis=1, keepdims=True), 1e-300)), -30).astype(np.float32).ravel()
 
     def parameters(self) -> np.ndarray:
-        return np.concatenate([getattr(self, n).ravel() for n in self.NAMES]).astype(np.float64)
+        return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
 
     def load(self, flat: np.ndarray) -> None:
         at = 0
-        for n in self.NAMES:
-            a = getattr(self, n)
-            setattr(self, n, flat[at : at + a.size].reshape(a.shape).astype(np.float32))
-            at += a.size
+        for n, shape in self.shapes.items():
+            size = math.prod(shape)
+            setattr(self, n, flat[at : at + size].reshape(shape).astype(np.float32))
+            at += size
 
     def hidden(self, contexts: np.ndarray) -> np.ndarray:
         out = self.context[contexts[0]] * self.scale[0]
@@ -133,21 +143,23 @@ class Model:
 
     def log10(self, contexts: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of the units at `place`, from batched matrix products."""
-        out = np.empty(len(place))
+        out, n = np.empty(len(place)), self.n_classes
         for lo in range(0, len(place), 1 << 15):
             y = place[lo : lo + (1 << 15)]
             h = self.hidden(contexts[:, lo : lo + (1 << 15)])
-            s = h @ self.klass.T + self.klass_bias
-            k = y // CLASSES
-            got = (s[np.arange(len(y)), k] - _log_sum(s)).astype(np.float64)
-            order = np.argsort(k.astype(np.uint8), kind="stable")
-            bounds = np.searchsorted(k[order], np.arange(CLASSES + 1))
-            for c in range(CLASSES):
-                at = order[bounds[c] : bounds[c + 1]]
-                if len(at):
-                    sl = slice(c * CLASSES, (c + 1) * CLASSES)
+            k = y // n
+            got = np.empty(len(y))
+            for i in range(0, len(y), 1 << 11):  # scores of some thousand tokens stay in the cache
+                s = h[i : i + (1 << 11)] @ self.klass.T + self.klass_bias
+                got[i : i + len(s)] = s[np.arange(len(s)), k[i : i + len(s)]] - _log_sum(s)
+            order = np.argsort(k.astype(np.uint16), kind="stable")
+            bounds = np.searchsorted(k[order], np.arange(n + 1))
+            for c in range(n):
+                sl = slice(c * n, (c + 1) * n)
+                for i in range(bounds[c], bounds[c + 1], 1 << 11):
+                    at = order[i : min(i + (1 << 11), bounds[c + 1])]
                     s = h[at] @ self.word[sl].T + self.word_bias[sl]
-                    got[at] += s[np.arange(len(at)), y[at] % CLASSES] - _log_sum(s)
+                    got[at] += s[np.arange(len(at)), y[at] % n] - _log_sum(s)
             out[lo : lo + len(y)] = got
         return out / np.log(10.0)
 
@@ -166,8 +178,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct rows, an order that gathers equal ones (a radix sort), and where each begins in it."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    """The distinct rows, an order that gathers equal ones (radix sorts of 16 bits), and where each begins in it."""
+    order = np.argsort((rows & 0xFFFF).astype(np.uint16), kind="stable")
+    high = (rows >> 16).astype(np.uint16)
+    if high.any():
+        order = order[np.argsort(high[order], kind="stable")]
     r = rows[order]
     first = np.concatenate(([0], np.flatnonzero(r[1:] != r[:-1]) + 1))
     return r[first], order, first
@@ -177,7 +192,7 @@ class Trainer:
     """Noise-contrastive steps with AdaGrad."""
 
     def __init__(self, model: Model, vocabulary: Vocabulary, seed: int, rate: float = 0.1):
-        self.m, self.rate, self.rng = model, rate, np.random.default_rng(seed)
+        self.m, self.rate, self.rng, self.n_classes = model, rate, np.random.default_rng(seed), vocabulary.n_classes
         p = vocabulary.classes
         self.q_class = p.sum(axis=1)
         self.log_q_class = np.log(np.maximum(self.q_class, 1e-12)).astype(np.float32)
@@ -186,7 +201,7 @@ class Trainer:
         self.cum = np.cumsum(inside, axis=1)
         self.cum[:, -1] = 1.0 + 1e-9
         # one table to draw from: the class plus the share within it
-        self.draw = (np.arange(CLASSES)[:, None] * 2 + self.cum).ravel()
+        self.draw = (np.arange(self.n_classes)[:, None] * 2 + self.cum).ravel()
         self.squares = {n: np.full(getattr(model, n).shape[:1], 1.0, dtype=np.float32) if getattr(model, n).ndim == 2 else np.full(getattr(model, n).shape, 1.0, dtype=np.float32) for n in Model.NAMES}
 
     def _update(self, rows: np.ndarray, *named: tuple[str, np.ndarray]) -> None:
@@ -209,17 +224,18 @@ class Trainer:
         h = parts[0] * m.scale[0]
         for k in range(1, CONTEXT):
             h += parts[k] * m.scale[k]
-        y = place // CLASSES
+        y = place // self.n_classes
         # classes: noise shared by the batch
-        z = self.rng.choice(CLASSES, NOISE, p=self.q_class)
-        ln = np.float32(np.log(NOISE))
+        k = NOISE * self.n_classes // CLASSES  # as many a class as for the least number
+        z = self.rng.choice(self.n_classes, k, p=self.q_class)
+        ln = np.float32(np.log(k))
         pos = np.einsum("nd,nd->n", h, m.klass[y]) + m.klass_bias[y] - self.log_q_class[y] - ln
         neg = h @ m.klass[z].T + m.klass_bias[z] - self.log_q_class[z] - ln
         g_pos, g_neg = (1 - _sigmoid(pos)).astype(np.float32), (-_sigmoid(neg)).astype(np.float32)
         dh = g_pos[:, None] * m.klass[y] + g_neg @ m.klass[z]
         # words: noise from the target's class
         u = self.rng.random((n, WORD_NOISE))
-        w = np.searchsorted(self.draw, y[:, None] * 2 + u, side="right").clip(max=CLASSES * CLASSES - 1)
+        w = np.searchsorted(self.draw, y[:, None] * 2 + u, side="right").clip(max=self.n_classes**2 - 1)
         lw = np.float32(np.log(WORD_NOISE))
         target, noise = m.word[place], m.word[w]
         wp = np.einsum("nd,nd->n", h, target) + m.word_bias[place] - self.log_q_word[place] - lw
@@ -282,31 +298,32 @@ def averaged(train: DataFrame, vocabulary, start: np.ndarray) -> np.ndarray:
     """Parameters after every task's pass from `start` over all its tokens, averaged by tokens."""
     spark = train.sparkSession
     sent = spark.sparkContext.broadcast((vocabulary, start))  # bounded by HEAD and the model's size
-    schema = pa.schema([("pid", pa.int64()), ("tokens", pa.int64()), ("sums", pa.binary())])
-    kinds = "pid long, tokens long, sums binary"
+    schema = pa.schema([("piece", pa.int64()), ("tokens", pa.int64()), ("mean", pa.binary())])
+    kinds = "piece long, tokens long, mean binary"
 
     def run(batches):
         v, flat = sent.value
-        model, pid = Model(v), TaskContext.get().partitionId()
-        model.load(flat)
-        n = train_on(model, v, (v.tokens(t) for b in batches for t in _slices(b.column("text"))), pid + 1)
+        model = Model(v, flat=flat)
+        n = train_on(model, v, (v.tokens(t) for b in batches for t in _slices(b.column("text"))), TaskContext.get().partitionId() + 1)
         if n:
-            yield common.batch_of(schema, [[pid], [n], [(model.parameters() * n).tobytes()]])
+            flat = model.parameters()
+            for k, lo in enumerate(range(0, len(flat), PIECE)):
+                yield common.batch_of(schema, [[k], [n], [flat[lo : lo + PIECE].tobytes()]])
 
     def add(batches):
-        total, sums = 0, None
+        sums: dict[int, np.ndarray] = {}
+        total: Counter = Counter()
         for b in batches:
-            for n, raw in zip(b.column("tokens").to_pylist(), b.column("sums").to_pylist()):
-                x = np.frombuffer(raw)
-                sums, total = x.copy() if sums is None else sums + x, total + n
-        if sums is not None:
-            yield common.batch_of(schema, [[TaskContext.get().partitionId()], [total], [sums.tobytes()]])
+            for k, n, raw in zip(*(b.column(c).to_pylist() for c in ("piece", "tokens", "mean"))):
+                x = np.frombuffer(raw, "<f4") * float(n)
+                sums[k] = sums[k] + x if k in sums else x
+                total[k] += n
+        for k, x in sums.items():
+            yield common.batch_of(schema, [[k], [total[k]], [(x / total[k]).astype("<f4").tobytes()]])
 
     each = common.written(common.map_arrow(train.select("text"), run, kinds), "lm-parts")
-    groups = max(1, int(train.rdd.getNumPartitions() ** 0.5))
-    level = common.map_arrow(each.repartition(groups, "pid"), add, kinds)
-    row = common.map_arrow(level.repartition(1), add, kinds).first()
-    return np.frombuffer(row.sums) / row.tokens if row else start
+    rows = common.map_arrow(each.repartition("piece"), add, kinds).collect()
+    return np.concatenate([np.frombuffer(r["mean"], "<f4") for r in sorted(rows, key=lambda r: r.piece)]) if rows else start
 
 
 def most_frequent(counts: DataFrame, most: int) -> list:
@@ -347,8 +364,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         v, flat = sent.value
-        m, pid, row = Model(v), TaskContext.get().partitionId(), 0
-        m.load(flat)
+        m, pid, row = Model(v, flat=flat), TaskContext.get().partitionId(), 0
         logs, miss = np.log10(v.count + 1.0), len(v.count) - 1
         for b in batches:
             for lo in range(0, b.num_rows, 500):
