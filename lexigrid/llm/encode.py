@@ -2,8 +2,8 @@
 
 A text is cut only where the tokenizer's own pre-tokens end (between letters or digits and other
 marks, and before the blanks that open a word), so the pieces' ids, put together, are the whole
-text's ids. Texts with other white space than blanks and line ends, and tokenizers of an unknown
-make, go to the library whole.
+text's ids. Texts with other white space than blanks and line ends, texts that hold the string of an
+added token (such as <|endoftext|>), and tokenizers of an unknown make, go to the library whole.
 """
 
 from __future__ import annotations
@@ -61,11 +61,14 @@ class _Words(dict):
 
 
 class Encoder:
-    """ids of texts as little-endian unsigned 32-bit arrays in bytes."""
+    """ids of texts as little-endian unsigned 32-bit arrays in bytes.
 
-    def __init__(self, path: str):
+    The strings of special tokens become those tokens, as the library does of itself; with special_as_text they are ordinary text.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         with open(path) as f:
             conf = json.load(f)
         pre, norm = conf.get("pre_tokenizer") or {}, conf.get("normalizer")
@@ -74,6 +77,10 @@ class Encoder:
             self.kind = "open"
         elif "[^\\s\\p{L}\\p{N}]+" in json.dumps(pre).replace("\\\\", "\\") and norm and [x.get("type") for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             self.kind = "shut"
+        added = [t for t in conf.get("added_tokens") or [] if t.get("content") and not (special_as_text and t.get("special"))]
+        self.added = [t["content"] for t in added]
+        if any(t.get("normalized") for t in added):
+            self.kind = ""  # sought in the normalised text, which isn't known here
         self.words = _Words(self.tokenizer, self.kind == "shut")
 
     def pieces(self, text: str) -> list[str] | None:
@@ -88,7 +95,7 @@ class Encoder:
             plain, odd = True, len(raw.translate(None, _ODD_BYTES)) < len(raw)
         except UnicodeEncodeError:
             plain, odd = False, _ODD.search(text)
-        if odd or not self.kind:
+        if odd or not self.kind or any(x in text for x in self.added):
             return None
         fine = plain and "'" not in text
         if self.kind == "open":
@@ -107,14 +114,15 @@ class Encoder:
         return list(map(self.one, texts))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
     """This process's encoder for a vocabulary file; it lives as long as the Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = (path, special_as_text)
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, special_as_text)
+    return _encoders[key]
 
 
 def vocabulary(name: str) -> str:

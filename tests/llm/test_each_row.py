@@ -19,24 +19,27 @@ def documents(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+@pytest.mark.parametrize("as_text", [False, True])
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_encoder_equals_library(name, odd_rows, spark, sf):
-    e, t = Encoder(vocabulary(name)), Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
-    texts = [r[1] for r in odd_rows if r[1]] + [r.text for r in documents(spark, sf).collect()]
+def test_encoder_equals_library(name, as_text, odd_rows, spark, sf):
+    e, t = Encoder(vocabulary(name), as_text), Tokenizer.from_file(vocabulary(name))
+    if as_text:
+        t.encode_special_tokens = True
+    texts = ["hello <|endoftext|> world", "<|startoftext|><|ENDOFTEXT|> x<|endoftext|>"] + [r[1] for r in odd_rows if r[1]] + [r.text for r in documents(spark, sf).collect()]
     for x, got in zip(texts, e.encode(texts)):
         assert got == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), x[:80]
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="ab é.,'!1 \n\t_ßÀ́<|endotx>", max_size=40))
+@given(st.lists(st.one_of(st.sampled_from(["<|endoftext|>", "<|startoftext|>"]), st.text(alphabet="ab é.,'!1 \n\t_ßÀ́<|endotx>", max_size=40)), max_size=4).map("".join))
 def test_encoder_any_text(text):
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         e = _encoders.setdefault(name, Encoder(vocabulary(name)))
-        assert e.encode([text])[0] == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert e.encode([text])[0] == np.array(_plain[name].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _encoders: dict = {}
+_plain = {name: Tokenizer.from_file(vocabulary(name)) for name in ("byte_bpe_50k.json", "word_bpe_49k.json")}
 
 
 def key(x):
@@ -50,7 +53,6 @@ def test_token_files(which, spark, sf, odd, empty, tmp_path):
     manifest, folder = tokenfile.write_token_files(docs, vocabulary("byte_bpe_50k.json"), 2, folder)
     got = tokenfile.read_token_files(manifest, folder).collect()
     t = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: key(r.doc_id))
     got.sort(key=lambda r: r.start)
     assert len(got) == len(rows)
@@ -75,7 +77,6 @@ def test_packing(which, spark, sf, odd, empty):
 
 def check_packed(rows, pieces):
     t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     by_id: dict = {}
     for p in pieces:
         by_id.setdefault(p.doc_id, []).append(p)
@@ -164,7 +165,6 @@ def test_viterbi_is_best():
 @pytest.mark.parametrize("rule", attribution.RULES)
 def test_section_tokens(rule, spark, sf, odd, empty):
     t = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     for docs in (odd, documents(spark, sf), empty):
         texts = {r.doc_id: r.text or "" for r in docs.collect()}
         got: dict = {}
