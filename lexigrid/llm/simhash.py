@@ -12,7 +12,9 @@ so rows never grow with the number of pairs, while link counts stay exact.
 
 Nulls: a null text is empty (fingerprint zero, linked like any other); a row with a null doc_id counts
 as a document but names no component, unless all of its members are such (then null); repeated rows
-each count; an empty table gives no rows. Other columns are not read.
+each count; an empty table gives no rows. Texts of any length are read whole, in time linear in them. Ties: a
+bit set in just half of the hashes is 0, and of equal fingerprints every row counts. Other columns, whatever
+their names, are not read, and keep_one() returns them all.
 """
 
 from __future__ import annotations
@@ -244,19 +246,21 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = common.written(_grouped(docs), "groups")
     # null ids count as repeated, so the joins below are by plain equality
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).join(repeated, "__id", "left_anti")
-    plain = docs.join(keep, docs["doc_id"] == keep["__id"], "left_semi")
-    doubtful = docs.join(repeated, docs["doc_id"] == repeated["__id"], "left_semi").unionByName(docs.where("doc_id is null"))
-    at, schema = docs.columns.index("text"), StructType([*docs.schema.fields, StructField("__fp", LongType())])
+    ident, mark = common.free_name(docs, "kept_id"), common.free_name(docs, "fingerprint")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(ident))
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias(ident)).join(repeated, ident, "left_anti")
+    same = common.col("doc_id").cast("long") == F.col(ident)
+    plain = docs.join(keep, same, "left_semi")
+    doubtful = docs.join(repeated, same, "left_semi").unionByName(docs.where("doc_id is null"))
+    at, schema = docs.columns.index("text"), StructType([*docs.schema.fields, StructField(mark, LongType())])
 
     def add(batches):
         for b in batches:
             fp = np.array([fingerprint(x) for x in common.raw_texts(b.column(at))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], names=schema.names)
 
-    marked = common.map_arrow(doubtful, add, schema)
-    marked = marked.select(F.struct(*[marked[c] for c in docs.columns]).alias("row"), F.col("__fp").alias("fp"), F.col("doc_id").cast("long").alias("id"))
+    marked = common.map_rows(doubtful, add, schema)
+    marked = marked.select(F.struct(*map(common.col, docs.columns)).alias("row"), F.col(mark).alias("fp"), F.col("doc_id").cast("long").alias("id"))
     roots = found.select("fp", "root", "component_id").distinct()
     chosen = marked.join(roots, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
     chosen = chosen.groupBy("root").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
