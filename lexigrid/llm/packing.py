@@ -3,12 +3,15 @@
 Each document's ids are cut every `size` ids; full pieces are sequences of their own. Of the rests,
 a histogram by length (at most size - 1 bins) goes to a linear program that chooses how often to use
 each pattern of rests that fills a sequence exactly. Columns are priced by a knapsack dynamic program;
-patterns are rounded down, and the rests of each length, ranked, are dealt to the patterns' places.
-What rounding leaves is laid end to end and cut at sequence ends; the very last sequence is cut into
-powers of two. So no sequence has any padding, and every id lies in exactly one piece.
+patterns are rounded down, the knapsack program packs the residual (the longest rest first, filled up
+exactly), and the rests of each length, ranked, are dealt to the patterns' places. What no pattern takes
+is laid end to end and cut at sequence ends; the very last sequence is cut into powers of two. So no
+sequence has any padding, and every id lies in exactly one piece.
 
 Nulls: a null text is empty (its only id is the end id); a null doc_id and repeated rows are each a
-document of their own; an empty table gives no rows. Other columns are not read.
+document of their own; an empty table gives no rows. Long texts are cut like others, into as many pieces as
+it takes. Ties: rests of one length are ranked by task and row, so which of them shares a sequence may change
+with the partitioning, but not how many do. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -61,7 +64,7 @@ def plan_patterns(counts: np.ndarray, size: int, gap: float = 0.02, rounds: int
 
     The program maximises the number of full sequences within the counts. It starts from the patterns
     of two lengths and stops when no column improves it or when a bound shows it within `gap` of the best,
-    or after `rounds` pricing rounds; what the plan leaves is packed as well, with more cuts.
+    or after `rounds` pricing rounds; residual_patterns() packs what the plan leaves.
     """
     lengths = np.flatnonzero(counts)
     n = counts[lengths].astype(np.float64)
@@ -121,6 +124,64 @@ def plan_patterns(counts: np.ndarray, size: int, gap: float = 0.02, rounds: int
     return plan
 
 
+def fill(left: dict[int, int], room: int) -> dict[int, int] | None:
+    """Some of the lengths left (length: copies) that add up to room exactly, long ones first; None if none do.
+
+    A dynamic program over the sums that can be reached, as bits of one number for each length.
+    """
+    if not room:
+        return {}
+    mask, reach, steps = (1 << room + 1) - 1, 1, []
+    for a in sorted((a for a, n in left.items() if n > 0 and a <= room), reverse=True):
+        before, n, k = reach, min(left[a], room // a), 1
+        while n:  # copies in powers of two, so any number of them can be taken
+            k = min(k, n)
+            reach |= reach << a * k & mask
+            n, k = n - k, k * 2
+        steps.append((a, before))
+        if reach >> room & 1:
+            break
+    if not reach >> room & 1:
+        return None
+    out: dict[int, int] = {}
+    for a, before in reversed(steps):
+        while not before >> room & 1:
+            out[a] = out.get(a, 0) + 1
+            room -= a
+    return out
+
+
+def residual_patterns(counts: np.ndarray, size: int) -> list[tuple[dict[int, int], int]]:
+    """Exactly full patterns for what rounding left: each of the longest rest and rests that fill it up, as often as these last.
+
+    Every pattern uses up one of its lengths or halves it, so their number doesn't grow with the rests.
+    """
+    left, out = {int(k): int(counts[k]) for k in np.flatnonzero(counts)}, []
+    for a in sorted(left, reverse=True):
+        while left[a] > 0:
+            left[a] -= 1
+            got = fill(left, size - a)
+            left[a] += 1
+            if got is None:
+                break  # no rest of this length can be completed; shorter ones still may
+            items = dict(got)
+            items[a] = items.get(a, 0) + 1
+            k = min(left[x] // n for x, n in items.items())
+            out.append((items, k))
+            for x, n in items.items():
+                left[x] -= n * k
+    return out
+
+
+def full_plan(counts: np.ndarray, size: int) -> list[tuple[dict[int, int], int]]:
+    """The patterns of the linear program, rounded down, then those of its residual."""
+    plan, left = plan_patterns(counts, size), counts.copy()
+    for items, k in plan:
+        for a, n in items.items():
+            left[a] -= n * k
+    return plan + residual_patterns(left, size)
+
+
 def powers(total: int) -> list[int]:
     """total as a sum of powers of two, falling."""
     return [1 << b for b in range(total.bit_length() - 1, -1, -1) if total >> b & 1]
@@ -167,7 +228,7 @@ def pack(docs: DataFrame, vocab: str, end_id: int, size: int = 2048) -> DataFram
     for r in by_task.groupBy("rest").agg(F.sum("n").alias("n")).collect():
         hist[r.rest] = r.n
     hist[0] = 0
-    plan = plan_patterns(hist, size)
+    plan = full_plan(hist, size)
     fulls = cuts.groupBy("pid").agg(F.sum(F.size("crcs")).alias("fulls")).select("pid", F.coalesce(F.sum("fulls").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("full_base"), "fulls")
     total_full = fulls.agg(F.coalesce(F.sum("fulls"), F.lit(0))).first()[0]
 
@@ -190,7 +251,7 @@ def pack(docs: DataFrame, vocab: str, end_id: int, size: int = 2048) -> DataFram
     whole = (
         cuts.where(F.size("crcs") > 0)
         .select("pid", "doc_id", "doc_tokens", "full_at", F.posexplode("crcs").alias("k", "crc"))
-        .join(F.broadcast(fulls) if cuts.rdd.getNumPartitions() <= 10_000 else fulls, "pid")
+        .join(fulls, "pid")
         .select("doc_id", (F.col("k") * size).cast("long").alias("start"), F.lit(size).cast("long").alias("length"), F.col("crc").alias("ids_crc32"), "doc_tokens", (F.col("full_base") + F.col("full_at") + F.col("k")).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     )
     limits = F.create_map(*[F.lit(int(x)) for k in range(size) if used[k] for x in (k, used[k])]) if plan else None

@@ -118,6 +118,43 @@ def test_plan_fills_sequences():
     assert sum([3, 4, 7][i] * a for i, a in best[1].items()) == 14
 
 
+@pytest.mark.parametrize("d, least", [("sf0.001", 0.75), ("sf0.01", 0.9), ("sf0.1", 0.97)])
+def test_patterns_take_nearly_all_rests(d, least):
+    """The share of the ids in rests that patterns place (few documents leave long rests that no others complete); within the counts, each exactly full."""
+    import duckdb
+
+    e = Encoder(vocabulary("word_bpe_49k.json"))
+    sizes = [len(x) // 4 + 1 for x in e.encode([r[0] or "" for r in duckdb.sql(f"select text from '/root/testdata/{d}/documents.parquet'").fetchall()])]
+    counts = np.bincount([n % 2048 for n in sizes], minlength=2048).astype(np.int64)
+    counts[0] = 0
+    used = np.zeros(2048, dtype=np.int64)
+    for items, k in packing.full_plan(counts, 2048):
+        assert sum(a * n for a, n in items.items()) == 2048 and k > 0
+        for a, n in items.items():
+            used[a] += n * k
+    assert (used <= counts).all()
+    share = (used * np.arange(2048)).sum() / (counts * np.arange(2048)).sum()
+    print("share", d, share)
+    assert share > least, share
+
+
+def test_residual_patterns():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        counts = np.bincount(rng.integers(1, 40, rng.integers(1, 30)), minlength=41)
+        used = np.zeros(41, dtype=np.int64)
+        for items, k in packing.residual_patterns(counts, 40):
+            assert sum(a * n for a, n in items.items()) == 40 and k > 0
+            for a, n in items.items():
+                used[a] += n * k
+        assert (used <= counts).all()
+        left = counts - used
+        sums = {0}
+        for a in np.repeat(np.arange(41), left).tolist():
+            sums |= {x + a for x in sums}
+        assert 40 not in sums  # nothing that is left fills a sequence
+
+
 def brute_quality(text):
     words = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
