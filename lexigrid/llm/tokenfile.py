@@ -2,9 +2,12 @@
 
 A file holds the dictionary's SHA-256, the documents' frames in ascending doc_id order (nulls first),
 then an index (doc_id, null flag, byte offset, number of ids), so a short document can be read alone.
-Ids take two bytes while they fit, else four. Nulls: a null text is empty (its ids are the end id), a
-null doc_id is kept and comes first; repeated rows are each kept, in the order of their texts' hashes.
-An empty table gives no files and no rows. Other columns are not read.
+Ids take two bytes while they fit, else four. Each file is one task's, and a doc_id (or null) that many
+rows have is dealt to several files by the hash of the text.
+
+Nulls: a null text is empty (its ids are the end id), a null doc_id is kept and comes first. Ties: repeated
+doc_ids are each kept, in the order of their texts' hashes. Long texts are one frame each. An empty table
+gives no files and no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,10 +32,12 @@ from .encode import encoder
 
 MAGIC = b"LXGRTOK1"
 TAIL = struct.Struct("<QQ8s")
+#: Bytes of frames that a reader takes at a time.
+CHUNK = 8 << 20
 
 
 def pack_ids(ids: bytes) -> bytes:
-    """A width byte, then the ids in that many bytes each, byte planes apart (they compress better so)."""
+    """A width byte, then the ids in that many bytes each, little-endian."""
     a = np.frombuffer(ids, dtype="<u4")
     width = 2 if not len(a) or int(a.max()) < 1 << 16 else 4
     return bytes([width]) + a.astype(f"<u{width}").tobytes()
@@ -60,13 +65,12 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 class Writer:
-    """One file; complete only once close() has moved it into place."""
+    """One file under a name that no other task has; it counts only once a manifest names it, which is after close()."""
 
     def __init__(self, uri: str, dictionary_hash: bytes):
         self.uri, self.index, self.at = uri, [], len(MAGIC) + 32
-        self.fs, self.path = _place(uri)
-        self.temp = f"{self.path}.{uuid.uuid4().hex}.tmp"
-        self.out = self.fs.open_output_stream(self.temp)
+        place, path = _place(uri)
+        self.out = place.open_output_stream(path)
         self.out.write(MAGIC + dictionary_hash)
 
     def add(self, doc_id: int | None, n_tokens: int, frame: bytes) -> None:
@@ -80,7 +84,6 @@ class Writer:
             self.out.write(np.array(c, dtype=t).tobytes())
         self.out.write(TAIL.pack(self.at, len(self.index), MAGIC))
         self.out.close()
-        self.fs.move(self.temp, self.path)
 
 
 class Reader:
@@ -110,8 +113,43 @@ class Reader:
         return unpack_ids(self.z.decompress(self.f.read(int(self.offset[i + 1] - self.offset[i]))))
 
     def __iter__(self) -> Iterator[tuple[int | None, np.ndarray]]:
-        for i in range(len(self.doc_id)):
-            yield None if self.is_null[i] else int(self.doc_id[i]), self.ids(i)
+        """All documents in order; the frames are read some megabytes at a time, not one by one."""
+        lo, n = 0, len(self.doc_id)
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(self.offset, self.offset[lo] + CHUNK, side="right")) - 1)
+            self.f.seek(int(self.offset[lo]))
+            raw, base = memoryview(self.f.read(int(self.offset[hi] - self.offset[lo]))), int(self.offset[lo])
+            for i in range(lo, hi):
+                frame = raw[int(self.offset[i]) - base : int(self.offset[i + 1]) - base]
+                yield None if self.is_null[i] else int(self.doc_id[i]), unpack_ids(self.z.decompress(frame))
+            lo = hi
+
+
+class Deal:
+    """The part of each row, rising with (doc_id, tie): cuts at quantiles of doc_id, and values that fill several quantiles, and nulls, spread over as many parts by tie."""
+
+    def __init__(self, quantiles: list[float], null_parts: int):
+        self.cuts, times = np.unique(np.array(quantiles, dtype=np.float64), return_counts=True)
+        # beyond 2 ** 53 several ids are one double: those aren't spread
+        times = np.where(np.abs(self.cuts) < 2.0**53, times, 1)
+        self.spread = np.concatenate(([1], times))  # of class k its first value, cuts[k - 1], fills so many parts
+        self.base = null_parts + np.concatenate(([0], np.cumsum(np.where(self.spread > 1, self.spread + 1, 1))[:-1]))
+        self.null_parts = null_parts
+        self.parts = int(self.base[-1] + self.spread[-1] + 1)
+
+    def __call__(self, keys: list[int | None], tie: np.ndarray) -> np.ndarray:
+        null = np.array([k is None for k in keys], dtype=bool)
+        x = np.array([k or 0 for k in keys], dtype=np.float64)
+        share = (tie.astype(np.float64) + 2.0**63) / 2.0**64  # ties are signed, and rise in their own order
+        k = np.searchsorted(self.cuts, x, side="right")
+        out = self.base[k].copy()
+        hot = self.spread[k] > 1
+        first = np.zeros(len(x), dtype=bool)
+        first[k > 0] = x[k > 0] == self.cuts[k[k > 0] - 1]
+        at = np.minimum((share * self.spread[k]).astype(np.int64), self.spread[k] - 1)
+        out[hot] += np.where(first[hot], at[hot], self.spread[k[hot]])
+        out[null] = np.minimum((share[null] * self.null_parts).astype(np.int64), self.null_parts - 1)
+        return out
 
 
 def read_dictionary(folder: str) -> bytes:
@@ -140,8 +178,10 @@ def write_token_files(docs: DataFrame, vocab: str, end_id: int, folder: str | No
         h.write(raw)
     digest, end = hashlib.sha256(raw).digest(), struct.pack("<I", end_id)
     parts = max(1, docs.rdd.getNumPartitions())
-    cuts = docs.where("doc_id is not null").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 and n else []
-    cuts = np.unique(np.array(cuts, dtype=np.float64))
+    known = docs.where("doc_id is not null")
+    cuts = known.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 and n else []
+    nulls = n - known.count() if n else 0
+    deal = Deal(cuts, -(-nulls * parts // max(1, n)) or 1)
     frames_schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int64()), ("frame", pa.binary())])
 
     def encode(batches):
@@ -150,12 +190,11 @@ def write_token_files(docs: DataFrame, vocab: str, end_id: int, folder: str | No
             for lo in range(0, b.num_rows, 1000):
                 s = b.slice(lo, 1000)
                 ids = [x + end for x in e.encode(common.texts_of(s.column("text")))]
-                keys = s.column("doc_id").to_pylist()
-                part = np.where([k is None for k in keys], 0, np.searchsorted(cuts, np.array([k or 0 for k in keys], dtype=np.float64), side="right"))
+                part = deal(s.column("doc_id").to_pylist(), s.column("tie").to_numpy(zero_copy_only=False))
                 yield common.batch_of(frames_schema, [part.astype(np.int32), s.column("doc_id"), s.column("tie"), [len(x) // 4 for x in ids], [z.compress(pack_ids(x)) for x in ids]])
 
     frames = common.map_arrow(docs.withColumn("tie", F.xxhash64("text")), encode, "part int, doc_id long, tie long, n_tokens long, frame binary")
-    placed = frames.repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie")
+    placed = frames.repartitionById(deal.parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie")
     manifest_schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
     def write(batches):
@@ -199,7 +238,8 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield common.batch_of(schema, list(zip(*rows)))
 
-    spread = starts.repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 2), "part")
+    n = max(1, manifest.sparkSession.sparkContext.defaultParallelism * 2)
+    spread = starts.repartitionById(n, F.pmod(F.col("part"), F.lit(n)).cast("int"))
     return common.map_arrow(spread, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
