@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,6 +83,16 @@ def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def disjoint(spans: Iterable[tuple]) -> list[tuple]:
+    """Of (start, end, ...) in order of preference those that overlap no earlier one, in order of place."""
+    kept: list[tuple] = []
+    for x in spans:
+        i = bisect_left(kept, x)
+        if (i == 0 or kept[i - 1][1] <= x[0]) and (i == len(kept) or kept[i][0] >= x[1]):
+            kept.insert(i, x)
+    return kept
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges(u, v): node, root = smallest node that can be reached.
 

@@ -19,7 +19,6 @@ Other columns, whatever their names, are not read, and remove() returns them all
 from __future__ import annotations
 
 import uuid
-from bisect import bisect_left, insort
 
 import ahocorasick
 import pyarrow as pa
@@ -70,16 +69,6 @@ def _inside(a: str, z: str) -> bool:
     return all(c.isdigit() or c.lower() != c.upper() for c in (a, z))
 
 
-def apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Of (distance, start, end) in order of preference those that don't overlap an earlier one."""
-    kept: list[tuple[int, int, int]] = []  # (start, end, distance), in order of place
-    for d, s, e in spans:
-        i = bisect_left(kept, (s, e, d))
-        if (i == 0 or kept[i - 1][1] <= s) and (i == len(kept) or kept[i][0] >= e):
-            insort(kept, (s, e, d))
-    return kept
-
-
 class Finder:
     """All matches of a block of items in normal form, within each item's error budget."""
 
@@ -136,7 +125,7 @@ class Finder:
                     if first:
                         return [(self.items[n][0], s, e, d)]
                     found.setdefault(n, {})[s, e] = d
-        return [(self.items[n][0], s, e, d) for n in sorted(found) for s, e, d in apart(sorted((d, s, e) for (s, e), d in found[n].items()))]
+        return [(self.items[n][0], s, e, d) for n in sorted(found) for s, e, d in common.disjoint((s, e, d) for d, s, e in sorted((d, s, e) for (s, e), d in found[n].items()))]
 
 
 def blocks(benchmark: DataFrame, block: int | None = None) -> tuple[DataFrame, int]:

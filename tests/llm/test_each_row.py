@@ -71,6 +71,24 @@ def test_token_files(which, spark, sf, odd, empty, tmp_path):
             tokenfile.Reader(one.path, b"another")
 
 
+def test_token_files_deal_hot_ids(spark, tmp_path):
+    """Ids and nulls that a third of the rows have go to several files, and the order stays."""
+    deal = tokenfile.Deal([3.0, 7.0, 7.0, 7.0, 9.0], 2)
+    rng = np.random.default_rng(1)
+    keys = [None if x < 3 else int(x) for x in rng.integers(0, 12, 3000)] + [7] * 2000
+    tie = rng.integers(-(2**63), 2**63 - 1, len(keys))
+    part = deal(keys, tie)
+    order = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i] or 0, tie[i]))
+    assert (np.diff(part[order]) >= 0).all() and part.min() == 0 and part.max() < deal.parts
+    assert len({int(p) for p, k in zip(part, keys) if k == 7}) == 3 and len({int(p) for p, k in zip(part, keys) if k is None}) == 2
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text {i} " * (i % 7)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    manifest, folder = tokenfile.write_token_files(docs, vocabulary("byte_bpe_50k.json"), 2, f"file://{tmp_path}/tok")
+    got = sorted(tokenfile.read_token_files(manifest, folder).collect(), key=lambda r: r.start)
+    assert [(g.doc_id is not None, g.doc_id or 0) for g in got] == sorted((d is not None, d or 0) for d, _ in rows)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:])) and max(r.n_docs for r in manifest.collect()) < 800
+
+
 @pytest.mark.parametrize("which", ["odd", "sf", "empty"])
 def test_packing(which, spark, sf, odd, empty):
     docs = {"odd": odd, "empty": empty}.get(which) if which != "sf" else documents(spark, sf)
@@ -388,3 +406,52 @@ def test_quality_marks_planted_boilerplate():
             n, junk = len(x.split()), x in planted
             hit, wrong, missed = hit + n * (junk and not y), wrong + n * (not junk and not y), missed + n * (junk and y)
     assert hit / (hit + wrong) > 0.55 and hit / (hit + missed) > 0.95, (hit, wrong, missed)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abc", max_size=9), st.text(alphabet="abc", max_size=9))
+def test_license_alignment_is_the_best(a, b):
+    """Against the whole table of scores."""
+    table = np.full((len(a) + 1, len(b) + 1), -100)
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            table[i, j] = max([0 if i == j == 0 else -100, *([table[i - 1, j] - 1] if i else []), *([table[i, j - 1] - 1] if j else []), *([table[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1)] if i and j else [])])
+    score, matched, i, j = licenses.extend(list(a), list(b), 20)
+    assert score == table.max() == table[i, j] and matched <= min(i, j)
+
+
+def test_licenses_tell_kin_apart():
+    ix = licenses.Index(licenses.TEMPLATES)
+    only = lambda text: [r[0] for r in ix.scan(text)]
+    for name, text in licenses.TEMPLATES.items():
+        assert only(f"noise {text} noise") == [name]
+    assert only("Licensed under the BSD License, Version 2.0.") == [] and only("Licensed under the Apache License, Version 1.1.") == []
+    assert only("Licensed under the GNU Lesser General Public License, version 3") == ["LGPL-3.0-notice"]
+    assert only("licensed under cc by-nc-sa 4.0") == ["CC-BY-NC-SA-4.0-notice"]
+
+
+def test_licenses_planted_with_changes():
+    """Notices with one word in ten changed, in other words: precision and recall of the names."""
+    import random
+
+    r, ix = random.Random(5), licenses.Index(licenses.TEMPLATES)
+    names = [n for n, t in licenses.TEMPLATES.items() if len(t.split()) >= 15]
+    hit = wrong = 0
+    for i in range(600):
+        name = names[i % len(names)]
+        words = [x if r.random() > 0.1 else r.choice(["", "foo", f"{x} bar"]) for x in licenses.TEMPLATES[name].split()]
+        fill = " ".join(f"w{r.randrange(999)}" for _ in range(30))
+        got = [x[0] for x in ix.scan(f"{fill} {' '.join(words)} {fill}")]
+        hit, wrong = hit + (name in got), wrong + sum(x != name for x in got)
+    assert hit > 0.85 * 600 and wrong < 0.03 * 600, (hit, wrong)
+
+
+def test_licenses_back_to_back_in_linear_time():
+    import time
+
+    ix, took = licenses.Index(licenses.TEMPLATES), []
+    for n in (5_000, 20_000):
+        began = time.time()
+        assert len(ix.scan("Released under the MIT License. " * n)) == n
+        took.append(time.time() - began)
+    assert took[1] < 12 * took[0] + 1
