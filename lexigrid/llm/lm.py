@@ -1,22 +1,28 @@
 """Scoring with a log-bilinear language model trained in numpy by noise-contrastive estimation.
 
 The model predicts a token from the `CONTEXT` before it: the context's vector is a sum of word vectors,
-each scaled for its place, and a word's score is that vector's product with the word's own vector plus a
-bias. Words fall into classes by frequency; the class and then the word in its class are normalised, so
-batches of matrix products give proper log-probabilities. Classes, words in a class and context buckets grow
-with the root of the training types, so each of the `HEAD` most frequent words is predicted by itself; words
-beyond them share one unit, within which a word has its add-one share of the training tokens that fall there.
-
-Noise-contrastive estimation needs no normaliser: drawn noise (of classes, shared by a batch; of words,
-from the target's class, for each target) is told from the data by logistic regression. The model starts from a bounded
-sample (`WARM` documents) on the driver; then every task trains on all training tokens that it holds, and
-the tasks' parameters are averaged by their tokens, in pieces of a fixed size, so no task holds many tasks' models.
+each scaled for its place, and a unit's score is that vector's product with the unit's own vector plus a
+bias. Units are the leaves of a tree, about as wide as the cube root of their number: half of its classes are
+the most frequent units themselves, the others are classes of like frequency with groups of like endings and
+units in these. Each level is normalised, so batches of matrix products give proper log-probabilities. The `HEAD` most frequent tokens are a unit and a context each. All
+others are predicted as one of the tail units, whose number grows with the root of the training types and which
+gather words of one ending; within its unit such a word has its add-one share of the unit's training tokens.
+
+Noise-contrastive estimation needs no normaliser: drawn noise (of classes, shared by a batch; of groups and
+units, from the target's own class and group, for each target) is told from the data by logistic regression.
+The model starts from `WARM` whole documents (those with the least hashes) on the driver; then each shard, a part
+of all training tokens set by the hash of the rows, is trained on in the order of the hashes, and the shards'
+parameters are averaged by their tokens, in pieces of a fixed size, so no task holds many shards' models. Shards
+hold about `SHARD` tokens, or more where that would make over `SHARDS` of them; so they follow from the data alone, and
+scores don't depend on how the input is partitioned (but for rounding in the sums).
 
 Counts cover the whole corpus. Up to `HEAD` most frequent tokens' counts are sent to the tasks (a bounded
 table); the other tokens meet their counts in a join.
 
 Nulls: a null text is empty (one token, the end); a null doc_id counts as the empty text for the split;
-repeated rows are rows like any other; an empty table gives no rows. Other columns are not read.
+repeated rows are rows like any other (if they fill a shard they are dealt to several); long texts are read
+whole, in slices of documents; of equally frequent tokens the one first in byte order comes first; an empty
+table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,47 +40,73 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: The least number of classes, and so of units and of buckets for contexts; they grow with the types.
+#: Classes and places of the least vocabulary; noise draws of classes are counted for so many.
 CLASSES, CONTEXT, DIM = 32, 3, 16
 WORDS = CLASSES * CLASSES - 1
 HEAD, HELD, WARM = 150_000, 500_000, 300
-BUCKETS = 256
+SHARD, SHARDS = 4_000_000, 4096
+#: Last bytes of a word that choose its tail unit.
+ENDING = 4
 #: Parameters in one piece of the sums.
 PIECE = 1 << 14
 BATCH, NOISE, WORD_NOISE = 2048, 16, 4
 END = b""
 
 
-def bucket(token: bytes, buckets: int = BUCKETS) -> int:
-    """Of a context word beyond the vocabulary only its last letters are kept."""
-    return zlib.crc32(token[-2:]) % buckets
+def bucket(token: bytes, buckets: int) -> int:
+    """The tail unit of a word."""
+    return zlib.crc32(token[-ENDING:]) % buckets
 
 
 class Vocabulary:
-    """The most frequent tokens: unit (what is predicted), context id and training count of each."""
+    """The most frequent tokens and the tail: unit (what is predicted, and what a context is), leaf and training count of each.
+
+    tail: training tokens and types of each tail unit beyond the head; without it there is one tail unit.
+    """
 
-    def __init__(self, tokens: list[bytes], counts: list[int], n_tokens: int, n_types: int):
+    def __init__(self, tokens: list[bytes], counts: list[int], n_tokens: int, n_types: int, tail: list[tuple[int, int]] | None = None):
         self.index = {t: i for i, t in enumerate(tokens)}
         self.count = np.append(np.array(counts, dtype=np.int64), 0)
         n = len(tokens)
-        self.other = n  # the unit of all other words
-        self.n_classes = max(CLASSES, math.isqrt(n) + 1)
-        self.buckets = max(BUCKETS, math.isqrt(n_types))
+        self.other = n  # the first tail unit
+        tail = np.array(tail if tail else [(n_tokens - int(self.count.sum()), n_types - n)], dtype=np.int64)
+        self.tails = len(tail)
+        self.n_units = n + self.tails
         self.unit = np.arange(n + 1, dtype=np.int32)
-        self.context = self.unit
-        self.bos = n + 1 + self.buckets
-        self.n_contexts = self.bos + 1
+        self.bos = self.n_units
+        self.n_contexts = self.n_units + 1
         self.n_tokens, self.n_types = n_tokens, n_types
-        known = int(self.count[:n].sum())
-        self.rest_log = float(np.log10(n_tokens - known + n_types - n + 1))
+        #: log10 of what a word's count is divided by: of units of one word nothing
+        self.share_log = np.concatenate((np.zeros(n), np.log10(tail.sum(axis=1) + 1.0)))
         self.base_log = float(np.log10(n_tokens + n_types + 1))
-        units = np.append(self.count[:n], max(1, n_tokens - known)).astype(np.float64)
-        order = np.argsort(-units, kind="stable")
-        self.place = np.empty(n + 1, dtype=np.int64)
-        self.place[order] = np.arange(n + 1)  # class = place // n_classes
-        p = np.zeros(self.n_classes**2)
-        p[: n + 1] = units[order] / units.sum()
-        self.classes = p.reshape(self.n_classes, self.n_classes)
+        units = np.concatenate((self.count[:n], np.maximum(1, tail[:, 0]))).astype(np.float64)
+        self.width = 11  # 11 ** 3 leaves are more than CLASSES ** 2
+        while self.width // 2 + (self.width - self.width // 2) * self.width**2 < self.n_units:
+            self.width += 1
+        r = self.width
+        self.single = r // 2  # so many classes are one unit each
+        self.leaves = r**3
+        self.n_classes = math.isqrt(self.leaves - 1) + 1
+        # classes by frequency; in a class by the words' ends, so that a group's words are alike
+        order, size = np.argsort(-units, kind="stable"), r**2
+        alone, order = order[: self.single], order[self.single :]
+        ends = [t[::-1] for t in tokens] + [b"\xff"] * self.tails
+        order = np.concatenate([order[:0], *(np.array(sorted(order[i : i + size].tolist(), key=ends.__getitem__), dtype=np.int64) for i in range(0, len(order), size))])
+        self.place = np.empty(self.n_units, dtype=np.int64)
+        self.place[alone] = np.arange(len(alone)) * size
+        self.place[order] = self.single * size + np.arange(len(order))
+        share = units / units.sum()
+        p = np.zeros((r - self.single) * size)
+        p[: len(order)] = share[order]
+        #: shares of the classes, of the groups in their classes, of the units in their groups
+        inside = p.reshape(-1, r, r)
+        groups = inside.sum(axis=2)
+        classes = groups.sum(axis=1)
+        self.shares = (
+            np.concatenate((share[alone], np.zeros(self.single - len(alone)), classes)),
+            groups / np.maximum(classes[:, None], 1e-300),
+            (inside / np.maximum(groups[:, :, None], 1e-300)).reshape(-1, r),
+        )
 
     def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
         """Indexes of all tokens of the texts, each with its end; where each text begins; the words."""
@@ -89,28 +121,35 @@ class Vocabulary:
             out[b - 1] = end
         return out, at, words
 
-    def contexts(self, ids: np.ndarray, at: np.ndarray, words: list[list[bytes]]) -> np.ndarray:
-        """The context ids before each token, nearest first; each text begins anew."""
-        c = self.context[ids]
+    def units(self, ids: np.ndarray, at: np.ndarray, words: list[list[bytes]]) -> np.ndarray:
+        """The unit of each token, those beyond the head in their tail units."""
+        u = self.unit.take(ids)
         miss = np.flatnonzero(ids == len(self.count) - 1)
-        if len(miss):
+        if len(miss) and self.tails > 1:
             doc = np.searchsorted(at, miss, side="right") - 1
-            c[miss] = [self.other + 1 + (bucket(words[d][k], self.buckets) if k < len(words[d]) else 0) for d, k in zip(doc.tolist(), (miss - at[doc]).tolist())]
+            u[miss] = [self.other + (bucket(words[d][k], self.tails) if k < len(words[d]) else 0) for d, k in zip(doc.tolist(), (miss - at[doc]).tolist())]
+        return u
+
+    def contexts(self, ids: np.ndarray, at: np.ndarray, words: list[list[bytes]], units: np.ndarray | None = None) -> np.ndarray:
+        """The context ids before each token, nearest first; each text begins anew."""
+        c = self.units(ids, at, words) if units is None else units
         out = np.full((CONTEXT, len(ids)), self.bos, dtype=np.int32)
-        since = np.arange(len(ids)) - np.repeat(at[:-1], np.diff(at))
         for k in range(CONTEXT):
             out[k, k + 1 :] = c[: len(c) - k - 1]
-            out[k, since <= k] = self.bos
+            for j in range(k + 1):  # a text's first tokens have no k-th token before them
+                first = at[:-1] + j
+                out[k, first[first < at[1:]]] = self.bos
         return out
 
 
 class Model:
-    NAMES = ("context", "scale", "klass", "klass_bias", "word", "word_bias")
+    NAMES = ("context", "scale", "top", "top_bias", "mid", "mid_bias", "word", "word_bias")
 
     def __init__(self, vocabulary: Vocabulary, seed: int = 1, flat: np.ndarray | None = None):
         v = vocabulary
-        n = self.n_classes = v.n_classes
-        self.shapes = dict(zip(self.NAMES, ((v.n_contexts, DIM), (CONTEXT, DIM), (n, DIM), (n,), (n * n, DIM), (n * n,))))
+        r = self.width = v.width
+        self.single, m = v.single, r - v.single  # m classes have groups
+        self.shapes = dict(zip(self.NAMES, ((v.n_contexts, DIM), (CONTEXT, DIM), (r, DIM), (r,), (m * r, DIM), (m * r,), (m * r * r, DIM), (m * r * r,))))
         if flat is not None:
             self.load(flat)
             return
@@ -118,12 +157,12 @@ class Model:
         self.context = (rng.standard_normal((v.n_contexts, DIM)) * 0.1).astype(np.float32)
         self.context[WORDS : v.other] = 0  # a word seldom or never met in training says nothing
         self.scale = np.full((CONTEXT, DIM), 1.0, dtype=np.float32)
-        self.klass = (rng.standard_normal((n, DIM)) * 0.1).astype(np.float32)
-        self.word = np.zeros((n * n, DIM), dtype=np.float32)  # and keeps its share of its class
-        p = v.classes
-        with np.errstate(divide="ignore"):
-            self.klass_bias = np.maximum(np.log(p.sum(axis=1)), -30).astype(np.float32)
-            self.word_bias = np.maximum(np.log(p / np.maximum(p.sum(axis=1, keepdims=True), 1e-300)), -30).astype(np.float32).ravel()
+        self.top = (rng.standard_normal((r, DIM)) * 0.1).astype(np.float32)
+        self.mid = (rng.standard_normal((m * r, DIM)) * 0.1).astype(np.float32)
+        self.word = np.zeros((m * r * r, DIM), dtype=np.float32)  # and keeps its share of its group
+        for name, p in zip(("top_bias", "mid_bias", "word_bias"), v.shares):
+            with np.errstate(divide="ignore"):
+                setattr(self, name, np.maximum(np.log(p), -30).astype(np.float32).ravel())
 
     def parameters(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
@@ -136,123 +175,191 @@ class Model:
             at += size
 
     def hidden(self, contexts: np.ndarray) -> np.ndarray:
-        out = self.context[contexts[0]] * self.scale[0]
+        out = self.context.take(contexts[0], axis=0) * self.scale[0]
         for k in range(1, CONTEXT):
-            out += self.context[contexts[k]] * self.scale[k]
+            out += self.context.take(contexts[k], axis=0) * self.scale[k]
         return out
 
     def log10(self, contexts: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities of the units at `place`, from batched matrix products."""
-        out, n = np.empty(len(place)), self.n_classes
-        for lo in range(0, len(place), 1 << 15):
-            y = place[lo : lo + (1 << 15)]
-            h = self.hidden(contexts[:, lo : lo + (1 << 15)])
-            k = y // n
-            got = np.empty(len(y))
+        """Normalised log10 probabilities of the units at the leaves `place` (beyond the tree: none), from batched matrix products."""
+        out, r, size = np.full(len(place), -np.inf), self.width, self.width**2
+        base = self.single * size  # where the classes with groups begin
+        for lo in range(0, len(place), 1 << 19):
+            y = place[lo : lo + (1 << 19)]
+            inside = np.flatnonzero((y < r**3) & ((y >= base) | (y % size == 0)))
+            # tokens in the order of their leaves, so that those of a node lie together
+            order = inside[_sorted(y[inside])]
+            y = y[order]
+            h = self.hidden(contexts[:, lo : lo + (1 << 19)].take(order, axis=1))
+            got, bias = np.empty(len(y), dtype=np.float64), self.top_bias
             for i in range(0, len(y), 1 << 11):  # scores of some thousand tokens stay in the cache
-                s = h[i : i + (1 << 11)] @ self.klass.T + self.klass_bias
-                got[i : i + len(s)] = s[np.arange(len(s)), k[i : i + len(s)]] - _log_sum(s)
-            order = np.argsort(k.astype(np.uint16), kind="stable")
-            bounds = np.searchsorted(k[order], np.arange(n + 1))
-            for c in range(n):
-                sl = slice(c * n, (c + 1) * n)
-                for i in range(bounds[c], bounds[c + 1], 1 << 11):
-                    at = order[i : min(i + (1 << 11), bounds[c + 1])]
-                    s = h[at] @ self.word[sl].T + self.word_bias[sl]
-                    got[at] += s[np.arange(len(at)), y[at] % n] - _log_sum(s)
-            out[lo : lo + len(y)] = got
+                got[i : i + (1 << 11)] = _log_share(h[i : i + (1 << 11)], self.top, bias, y[i : i + (1 << 11)] // size)
+            deep = int(np.searchsorted(y, base))
+            leaf = y[deep:] - base
+            for weights, bias, node, child in ((self.mid, self.mid_bias, leaf // size, leaf // r % r), (self.word, self.word_bias, leaf // r, leaf % r)):
+                starts = np.concatenate((np.flatnonzero(np.diff(node, prepend=-1)), [len(leaf)])).tolist()
+                for a, z in zip(starts, starts[1:]):
+                    k = int(node[a]) * r
+                    for i in range(a, z, 1 << 11):
+                        j = min(z, i + (1 << 11))
+                        got[deep + i : deep + j] += _log_share(h[deep + i : deep + j], weights[k : k + r], bias[k : k + r], child[i:j])
+            out[lo + order] = got
         return out / np.log(10.0)
 
 
-def _log_sum(s: np.ndarray) -> np.ndarray:
-    top = s.max()
-    total = np.exp(s - top).sum(axis=1)
-    if total.min() > 1e-30:
-        return top + np.log(total)
-    top = s.max(axis=1)  # rows far below the greatest score
-    return top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+def _log_share(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, child: np.ndarray) -> np.ndarray:
+    """Log-probabilities of one child each among all of a node."""
+    s = h @ weights.T
+    s += bias
+    own = s[_COUNT[: len(s)], child].astype(np.float64)
+    total = np.exp(s).sum(axis=1, dtype=np.float64)
+    if 1e-30 < total.min() and total.max() < np.inf:
+        return own - np.log(total)
+    top = s.max(axis=1)  # scores too large or too small for exp()
+    return own - top - np.log(np.exp(s - top[:, None]).sum(axis=1))
+
+
+_COUNT = np.arange(1 << 11)
+
+
+def _sorted(y: np.ndarray) -> np.ndarray:
+    """A stable order of y (below 2 ** 32) by radix sorts of 16 bits."""
+    order = np.argsort((y & 0xFFFF).astype(np.uint16), kind="stable")
+    high = (y >> 16).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(np.minimum(-x, 30)))
 
 
-def _groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct rows, an order that gathers equal ones (radix sorts of 16 bits), and where each begins in it."""
-    order = np.argsort((rows & 0xFFFF).astype(np.uint16), kind="stable")
-    high = (rows >> 16).astype(np.uint16)
-    if high.any():
-        order = order[np.argsort(high[order], kind="stable")]
-    r = rows[order]
-    first = np.concatenate(([0], np.flatnonzero(r[1:] != r[:-1]) + 1))
-    return r[first], order, first
+def alias_table(shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of shares (nodes x children) the alias method's tables: how much of each child's slot is its own, and whose the rest is."""
+    left = shares / np.maximum(shares.sum(axis=1, keepdims=True), 1e-300) * shares.shape[1]
+    nodes, own, other = np.arange(len(left)), np.ones(left.shape), np.tile(np.arange(left.shape[1]), (len(left), 1))
+    low = left.copy()  # infinite once a child's slot is settled
+    for _ in range(left.shape[1] - 1):
+        i = low.argmin(axis=1)
+        low[nodes, i] = np.inf
+        high = np.where(np.isinf(low), -1.0, low)
+        j = high.argmax(axis=1)
+        own[nodes, i] = np.minimum(1.0, left[nodes, i])
+        other[nodes, i] = j
+        left[nodes, j] -= 1.0 - own[nodes, i]
+        low[nodes, j] = left[nodes, j]
+    return own.ravel(), (other + nodes[:, None] * left.shape[1]).ravel()
 
 
 class Trainer:
     """Noise-contrastive steps with AdaGrad."""
 
     def __init__(self, model: Model, vocabulary: Vocabulary, seed: int, rate: float = 0.1):
-        self.m, self.rate, self.rng, self.n_classes = model, rate, np.random.default_rng(seed), vocabulary.n_classes
-        p = vocabulary.classes
-        self.q_class = p.sum(axis=1)
-        self.log_q_class = np.log(np.maximum(self.q_class, 1e-12)).astype(np.float32)
-        inside = p / np.maximum(self.q_class[:, None], 1e-300)
-        self.log_q_word = np.log(np.maximum(inside, 1e-12)).astype(np.float32).ravel()
-        self.cum = np.cumsum(inside, axis=1)
-        self.cum[:, -1] = 1.0 + 1e-9
-        # one table to draw from: the class plus the share within it
-        self.draw = (np.arange(self.n_classes)[:, None] * 2 + self.cum).ravel()
-        self.squares = {n: np.full(getattr(model, n).shape[:1], 1.0, dtype=np.float32) if getattr(model, n).ndim == 2 else np.full(getattr(model, n).shape, 1.0, dtype=np.float32) for n in Model.NAMES}
-
-    def _update(self, rows: np.ndarray, *named: tuple[str, np.ndarray]) -> None:
-        """AdaGrad steps of arrays that share their rows, with the gradients of equal rows summed."""
-        rows, order, first = _groups(rows)
-        for name, grad in named:
-            g = np.add.reduceat(grad[order], first, axis=0)
-            target, sq = getattr(self.m, name), self.squares[name]
-            if g.ndim == 2:
-                new = sq[rows] + np.einsum("nd,nd->n", g, g) / DIM
-                target[rows] += g * (self.rate / np.sqrt(new))[:, None]
-            else:
-                new = sq[rows] + g * g
-                target[rows] += g * (self.rate / np.sqrt(new))
+        self.m, self.rate, self.rng, self.width, self.single = model, rate, np.random.default_rng(seed), vocabulary.width, vocabulary.single
+        self.q, *inside = vocabulary.shares
+        self.q = self.q / self.q.sum()
+        self.log_q = [np.log(np.maximum(p, 1e-12)).astype(np.float32).ravel() for p in vocabulary.shares]
+        self.draw = [alias_table(p) for p in inside]
+        self.squares = {n: np.ones(getattr(model, n).shape[:1] if n in ("context", "top", "mid", "word") else getattr(model, n).shape, dtype=np.float32) for n in Model.NAMES}
+        self.slot = {n: np.zeros(getattr(model, n).shape[0], dtype=np.int64) for n in ("context", "word")}
+        self.mark = {n: np.zeros(len(x), dtype=bool) for n, x in self.slot.items()}
+
+    def _apply(self, name: str, rows: np.ndarray | None, grad: np.ndarray) -> None:
+        """An AdaGrad step of distinct rows (None: of all); a row of vectors shares one rate."""
+        target, sq = getattr(self.m, name), self.squares[name]
+        shared = grad.ndim == 2 and sq.ndim == 1
+        new = sq if rows is None else sq.take(rows, axis=0)
+        new += np.einsum("nd,nd->n", grad, grad) / DIM if shared else grad * grad
+        step = self.rate / np.sqrt(new)
+        grad *= step[:, None] if shared else step
+        if rows is None:
+            target += grad
+        else:
+            grad += target.take(rows, axis=0)
+            target[rows] = grad
             sq[rows] = new
 
+    def _scatter(self, name: str, rows: np.ndarray, coefficients: np.ndarray | None, vectors: list[np.ndarray]) -> None:
+        """Sum, for equal rows, coefficients times vectors (dimension by dimension) and step; with coefficients the biases as well."""
+        if name in self.slot:
+            slot, mark = self.slot[name], self.mark[name]
+            mark[rows] = True
+            distinct = np.flatnonzero(mark)
+            mark[distinct] = False
+            n = len(distinct)
+            slot[distinct] = np.arange(n)
+            at = slot.take(rows)
+        else:
+            distinct, at, n = None, rows, len(getattr(self.m, name))
+        grad = np.empty((n, DIM), dtype=np.float32)
+        for d in range(DIM):
+            grad[:, d] = np.bincount(at, vectors[d] if coefficients is None else (coefficients * vectors[d]).ravel(), n)
+        self._apply(name, distinct, grad)
+        if coefficients is not None:
+            self._apply(f"{name}_bias", distinct, np.bincount(at, coefficients.ravel(), n).astype(np.float32))
+
+    def _inside(self, name: str, level: int, node: np.ndarray, target: np.ndarray, u: np.ndarray, h: np.ndarray, columns: np.ndarray, dh: np.ndarray) -> None:
+        """Targets against noise children of their own nodes; u[k, i] draws the k-th noise of target i."""
+        m, log_q, lk = self.m, self.log_q[level], np.float32(np.log(WORD_NOISE))
+        own, other = self.draw[level - 1]
+        u = u * self.width
+        slot = u.astype(np.int64)
+        u -= slot
+        slot += node * self.width
+        rows = np.empty((WORD_NOISE + 1, len(target)), dtype=np.int64)
+        rows[0] = target
+        rows[1:] = np.where(u < own.take(slot), slot, other.take(slot))
+        w = getattr(m, name).take(rows, axis=0)
+        s = np.einsum("nd,knd->kn", h, w)
+        s += getattr(m, f"{name}_bias").take(rows) - log_q.take(rows) - lk
+        g = -_sigmoid(s)
+        g[0] += 1
+        dh += np.einsum("kn,knd->nd", g, w)
+        self._scatter(name, rows.ravel(), g.astype(np.float64), columns)
+
     def step(self, contexts: np.ndarray, place: np.ndarray) -> None:
-        m, n = self.m, len(place)
-        parts = [m.context[contexts[k]] for k in range(CONTEXT)]
+        m, n, r = self.m, len(place), self.width
+        parts = [m.context.take(contexts[k], axis=0) for k in range(CONTEXT)]
         h = parts[0] * m.scale[0]
         for k in range(1, CONTEXT):
             h += parts[k] * m.scale[k]
-        y = place // self.n_classes
+        y = place // r**2
         # classes: noise shared by the batch
-        k = NOISE * self.n_classes // CLASSES  # as many a class as for the least number
-        z = self.rng.choice(self.n_classes, k, p=self.q_class)
-        ln = np.float32(np.log(k))
-        pos = np.einsum("nd,nd->n", h, m.klass[y]) + m.klass_bias[y] - self.log_q_class[y] - ln
-        neg = h @ m.klass[z].T + m.klass_bias[z] - self.log_q_class[z] - ln
-        g_pos, g_neg = (1 - _sigmoid(pos)).astype(np.float32), (-_sigmoid(neg)).astype(np.float32)
-        dh = g_pos[:, None] * m.klass[y] + g_neg @ m.klass[z]
-        # words: noise from the target's class
-        u = self.rng.random((n, WORD_NOISE))
-        w = np.searchsorted(self.draw, y[:, None] * 2 + u, side="right").clip(max=self.n_classes**2 - 1)
-        lw = np.float32(np.log(WORD_NOISE))
-        target, noise = m.word[place], m.word[w]
-        wp = np.einsum("nd,nd->n", h, target) + m.word_bias[place] - self.log_q_word[place] - lw
-        wn = np.einsum("nd,nkd->nk", h, noise) + m.word_bias[w] - self.log_q_word[w] - lw
-        gw, gn = (1 - _sigmoid(wp)).astype(np.float32), (-_sigmoid(wn)).astype(np.float32)
-        dh += gw[:, None] * target + np.einsum("nk,nkd->nd", gn, noise)
-        self._update(np.concatenate((y, z)), ("klass", np.concatenate((g_pos[:, None] * h, g_neg.T @ h))), ("klass_bias", np.concatenate((g_pos, g_neg.sum(axis=0)))))
-        self._update(np.concatenate((place, w.ravel())), ("word", np.concatenate((gw[:, None] * h, (gn[:, :, None] * h[:, None, :]).reshape(-1, DIM)))), ("word_bias", np.concatenate((gw, gn.ravel()))))
-        self._update(contexts.ravel(), ("context", np.concatenate([dh * m.scale[k] for k in range(CONTEXT)])))
-        self._update(np.arange(CONTEXT), ("scale", np.stack([np.einsum("nd,nd->d", dh, parts[k]) for k in range(CONTEXT)])))
+        k = NOISE * max(CLASSES, r) // CLASSES  # as many a class as for the least number
+        z = self.rng.choice(r, k, p=self.q)
+        noise = np.bincount(z, minlength=r).astype(np.float32)
+        s = h @ m.top.T + (m.top_bias - self.log_q[0] - np.float32(np.log(k)))
+        g = _sigmoid(s)
+        mine = 1 - g[np.arange(n), y]
+        g *= -noise
+        g[np.arange(n), y] += mine
+        dh = g @ m.top
+        # groups and units: noise from the target's own class and group, for each target; high and low bits of one draw
+        u = self.rng.random((WORD_NOISE, n))
+        u *= 1 << 24
+        high = np.floor(u)
+        u -= high
+        high /= 1 << 24
+        deep = np.flatnonzero(y >= self.single)
+        if len(deep):
+            leaf = place.take(deep) - self.single * r**2
+            group, inner, back = leaf // r, h.take(deep, axis=0), np.zeros((len(deep), DIM), dtype=np.float32)
+            columns = inner.T.astype(np.float64)
+            self._inside("mid", 1, group // r, group, high.take(deep, axis=1), inner, columns, back)
+            self._inside("word", 2, group, leaf, u.take(deep, axis=1), inner, columns, back)
+            dh[deep] += back
+        self._apply("top", None, g.T @ h)
+        self._apply("top_bias", None, g.sum(axis=0))
+        back = dh.T.astype(np.float64)
+        self._scatter("context", contexts.ravel(), None, [(m.scale[:, d, None] * back[d]).ravel() for d in range(DIM)])
+        self._apply("scale", None, np.stack([np.einsum("nd,nd->d", dh, parts[k]) for k in range(CONTEXT)]))
 
 
 def train_on(model: Model, vocabulary: Vocabulary, batches, seed: int) -> int:
     """One pass over (ids, at, words) batches; the number of tokens."""
     t, total = Trainer(model, vocabulary, seed), 0
     for ids, at, words in batches:
-        c, y = vocabulary.contexts(ids, at, words), vocabulary.place[vocabulary.unit[ids]]
+        u = vocabulary.units(ids, at, words)
+        c, y = vocabulary.contexts(ids, at, words, u), vocabulary.place.take(u)
         for lo in range(0, len(y), BATCH):
             t.step(c[:, lo : lo + BATCH], y[lo : lo + BATCH])
         total += len(y)
@@ -261,7 +368,8 @@ def train_on(model: Model, vocabulary: Vocabulary, batches, seed: int) -> int:
 
 def _docs(docs: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.crc32(F.encode(key, "UTF-8")) % 7 == 2).alias("held_out"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.crc32(F.encode(key, "UTF-8")) % 7 == 2).alias("held_out"))
+    return docs.withColumn("key", F.xxhash64("doc_id", "text"))
 
 
 def token_counts(train: DataFrame) -> DataFrame:
@@ -294,8 +402,21 @@ def _slices(column: pa.Array, rows: int = 500):
         yield common.raw_texts(column.slice(lo, rows))
 
 
-def averaged(train: DataFrame, vocabulary, start: np.ndarray) -> np.ndarray:
-    """Parameters after every task's pass from `start` over all its tokens, averaged by tokens."""
+def sharded(train: DataFrame, shards: int) -> DataFrame:
+    """The texts by shard (a partition each), in the order of their hashes. A row that is repeated so often that it fills a shard is dealt to several."""
+    if shards > 1:
+        # as many keys as shards at most
+        hot = {r.key: r.n for r in train.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * shards > train.count()).collect()}
+    else:
+        hot = {}
+    shard = F.pmod(F.col("key"), F.lit(shards))
+    if hot:
+        shard = F.when(F.col("key").isin(list(hot)), F.floor(F.rand(1) * shards)).otherwise(shard)
+    return train.select("text", "key", shard.cast("int").alias("shard")).repartitionById(shards, "shard").sortWithinPartitions("key")
+
+
+def averaged(train: DataFrame, vocabulary, start: np.ndarray, n_tokens: int) -> np.ndarray:
+    """Parameters after every shard's pass from `start` over all its tokens, averaged by tokens."""
     spark = train.sparkSession
     sent = spark.sparkContext.broadcast((vocabulary, start))  # bounded by HEAD and the model's size
     schema = pa.schema([("piece", pa.int64()), ("tokens", pa.int64()), ("mean", pa.binary())])
@@ -321,11 +442,23 @@ def averaged(train: DataFrame, vocabulary, start: np.ndarray) -> np.ndarray:
         for k, x in sums.items():
             yield common.batch_of(schema, [[k], [total[k]], [(x / total[k]).astype("<f4").tobytes()]])
 
-    each = common.written(common.map_arrow(train.select("text"), run, kinds), "lm-parts")
+    each = common.map_arrow(sharded(train, min(SHARDS, max(1, -(-n_tokens // SHARD)))).select("text"), run, kinds)
     rows = common.map_arrow(each.repartition("piece"), add, kinds).collect()
     return np.concatenate([np.frombuffer(r["mean"], "<f4") for r in sorted(rows, key=lambda r: r.piece)]) if rows else start
 
 
+def tail_units(counts: DataFrame, head: list, n_types: int) -> list[tuple[int, int]]:
+    """Training tokens and types of each tail unit; as many units as the root of the types, and that many rows come to the driver."""
+    n = max(1, math.isqrt(n_types))
+    out = np.zeros((n, 2), dtype=np.int64)
+    unit = F.pmod(F.crc32(F.substring("token", -ENDING, ENDING)), F.lit(n))
+    for r in counts.groupBy(unit.alias("u")).agg(F.sum("c").alias("c"), F.count("*").alias("k")).collect():
+        out[r.u] = r.c, r.k
+    for r in head:
+        out[bucket(bytes(r.token), n)] -= (r.c, 1)
+    return [tuple(x) for x in out.tolist()]
+
+
 def most_frequent(counts: DataFrame, most: int) -> list:
     """The tokens of the highest counts, at most `most`, by falling count.
 
@@ -352,12 +485,12 @@ def score(docs: DataFrame) -> DataFrame:
     counts = token_counts(train)
     n_types, n_tokens = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     head = most_frequent(counts, HEAD)
-    v = Vocabulary([bytes(r.token) for r in head], [r.c for r in head], int(n_tokens), int(n_types))
+    v = Vocabulary([bytes(r.token) for r in head], [r.c for r in head], int(n_tokens), int(n_types), tail_units(counts, head, int(n_types)))
     model = Model(v)
-    warm = [(r.text or "").encode() for r in train.select(F.left("text", F.lit(20_000)).alias("text")).limit(WARM).collect()]
+    warm = [(r.text or "").encode() for r in train.orderBy("key", "doc_id").limit(WARM).select("text").collect()]
     if warm:
         train_on(model, v, [v.tokens(warm)], 0)
-    model.load(averaged(train, v, model.parameters()))
+    model.load(averaged(train, v, model.parameters(), int(n_tokens)))
     sent = spark.sparkContext.broadcast((v, model.parameters()))
     tail_t = pa.struct([("token", pa.binary()), ("tf", pa.int64())])
     schema = pa.schema([("pid", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(tail_t))])
@@ -367,13 +500,13 @@ def score(docs: DataFrame) -> DataFrame:
         m, pid, row = Model(v, flat=flat), TaskContext.get().partitionId(), 0
         logs, miss = np.log10(v.count + 1.0), len(v.count) - 1
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                s = b.slice(lo, 500)
+            for lo in range(0, b.num_rows, 1000):
+                s = b.slice(lo, 1000)
                 ids, at, words = v.tokens(common.raw_texts(s.column("text")))
-                unit = v.unit[ids]
-                p = m.log10(v.contexts(ids, at, words), v.place[unit])
-                log_c = logs[ids]
-                p += np.where(unit == v.other, log_c - v.rest_log, 0.0)
+                unit = v.units(ids, at, words)
+                p = m.log10(v.contexts(ids, at, words, unit), v.place.take(unit))
+                log_c = logs.take(ids)
+                p -= v.share_log.take(unit)  # a tail word's count, the other part of its share, comes by the join below
                 first = at[:-1]
                 n = np.diff(at)
                 known = np.add.reduceat((v.count[ids] > 0).astype(np.int64), first)
