@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import accumulate as accumulate_sizes
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexigrid.operators.index import Index, collection_properties, term_statistics
+from lexigrid.operators.index import Index, bucketed, collection_properties, term_statistics
 from lexigrid.operators.ranks import dense_ids
 from lexigrid.operators.retrieval import _expected_any, accumulate, bag, gamma_p, gamma_quantile, top_k
 from lexigrid.sources.store import ship, written
@@ -20,19 +23,22 @@ def merge_offsets(parts: DataFrame) -> DataFrame:
 
 
 def merge(indexes: list[Index]) -> Index:
-    """One index of several whose ids each begin at 0: ids shift by the documents before, terms meet by name."""
-    sizes = [ix.properties.first().documents for ix in indexes]
-    postings = documents = None
-    first = 0
-    for ix, n in zip(indexes, sizes):
-        p = ix.postings.withColumn("doc_id", F.col("doc_id") + first)
-        d = ix.documents.withColumn("doc_id", F.col("doc_id") + first)
-        postings = p if postings is None else postings.unionByName(p)
-        documents = d if documents is None else documents.unionByName(d)
-        first += n
-    postings = written(postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "merged-postings")
-    lexicon = written(dense_ids(term_statistics(postings), ["term"], "term_id").select("term_id", "term", "df", "cf"), "merged-lexicon")
-    return Index(postings, lexicon, documents, collection_properties(documents))
+    """One index of several whose ids each begin at 0: ids shift by the documents before, terms meet by name.
+
+    Quantised scores rest on one collection's statistics, so those of the parts aren't taken over: add_quantized() makes them anew.
+    """
+    tagged = lambda tables: reduce(DataFrame.unionByName, [t.withColumn("part", F.lit(i)) for i, t in enumerate(tables)])
+    sizes = {r.part: r.documents for r in tagged([ix.properties for ix in indexes]).select("part", "documents").collect()}
+    first = list(accumulate_sizes([0, *(sizes[i] for i in range(len(indexes) - 1))]))
+    moved = lambda df, i: df.drop("bucket").withColumn("doc_id", F.col("doc_id") + first[i])
+    postings = reduce(DataFrame.unionByName, [moved(ix.postings, i) for i, ix in enumerate(indexes)])
+    documents = reduce(DataFrame.unionByName, [moved(ix.documents, i) for i, ix in enumerate(indexes)])
+    buckets = max(ix.buckets for ix in indexes)
+    postings = bucketed(postings, buckets, "merged-postings") if buckets else written(postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "merged-postings")
+    # a term's statistics are the sums of the parts' own
+    stats = reduce(DataFrame.unionByName, [ix.lexicon.select("term", "df", "cf") for ix in indexes]).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    lexicon = written(dense_ids(stats, ["term"], "term_id").select("term_id", "term", "df", "cf"), "merged-lexicon")
+    return Index(postings, lexicon, documents, collection_properties(documents), buckets=buckets)
 
 
 def order_map(ordering: DataFrame, order: list) -> DataFrame:
@@ -79,7 +85,11 @@ def local_ids(shards: DataFrame) -> DataFrame:
 
 def shard_postings(index: Index, shards: DataFrame) -> DataFrame:
     """shard_id, term, doc_id, tf, len"""
-    return index.postings.join(shards.select("doc_id", "shard_id"), "doc_id").select("shard_id", "term", "doc_id", "tf", "len")
+    return shards_of(index.postings, shards)
+
+
+def shards_of(postings: DataFrame, shards: DataFrame) -> DataFrame:
+    return postings.join(shards.select("doc_id", "shard_id"), "doc_id").select("shard_id", "term", "doc_id", "tf", "len")
 
 
 def shard_term_stats(postings: DataFrame) -> DataFrame:
@@ -101,15 +111,24 @@ def write_cluster(index: Index, shards: DataFrame, path: str) -> None:
     moved.repartitionByRange("shard_id", "term", "doc_id").sortWithinPartitions("shard_id", "term", "doc_id").write.option("compression", "zstd").partitionBy("shard_id").parquet(f"{path}/postings")
     local.join(index.documents, "doc_id").write.option("compression", "zstd").partitionBy("shard_id").parquet(f"{path}/documents")
     shard_properties(index, shards).write.parquet(f"{path}/shard_properties")
+    for name, q in index.scores.items():
+        q = q.join(shards.select("doc_id", "shard_id"), "doc_id").select("shard_id", "term", "doc_id", "q")
+        q.repartitionByRange("shard_id", "term", "doc_id").sortWithinPartitions("shard_id", "term", "doc_id").write.option("compression", "zstd").partitionBy("shard_id").parquet(f"{path}/scores/{name}")
     index.lexicon.write.option("compression", "zstd").parquet(f"{path}/lexicon")
     index.properties.write.parquet(f"{path}/properties")
 
 
-def open_cluster(spark: SparkSession, path: str, only: list[int] | None = None) -> dict[str, DataFrame]:
-    """The tables of write_cluster(); with `only`, postings and documents of these shards (other partitions aren't read)."""
-    tables = {n: spark.read.parquet(f"{path}/{n}") for n in ("postings", "documents", "shard_properties", "lexicon", "properties")}
+def reverse_map(documents: DataFrame) -> DataFrame:
+    """shard_id, local_doc_id, doc_id of a cluster's documents: from the ids in the shards back to the collection's."""
+    return documents.select("shard_id", "local_doc_id", "doc_id")
+
+
+def open_cluster(spark: SparkSession, path: str, only: list[int] | None = None, scores: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The tables of write_cluster(), stored scores by their names as `scores/name`; with `only`, postings, scores and documents of these shards (other partitions aren't read)."""
+    split = ("postings", "documents", *(f"scores/{s}" for s in scores))
+    tables = {n: spark.read.parquet(f"{path}/{n}") for n in (*split, "shard_properties", "lexicon", "properties")}
     if only is not None:
-        for n in ("postings", "documents"):
+        for n in split:
             tables[n] = tables[n].where(F.col("shard_id").isin(only))
     return tables
 
@@ -118,8 +137,7 @@ def shard_scored(index: Index, shards: DataFrame, queries: DataFrame, score: str
     """shard_id, term, doc_id, score by the shard's own statistics, of the queries' terms."""
     from lexigrid.functions.scoring import scorer
 
-    postings = shard_postings(index, shards)
-    hit = postings.join(queries.select("term").distinct(), "term", "left_semi")
+    hit = shards_of(index.hits(queries), shards)  # the terms' postings first, then their shards
     stats = shard_term_stats(hit)
     props = shard_properties(index, shards).select("shard_id", F.col("documents").alias("n"), F.col("occurrences").alias("c"), F.col("avg_document_size").alias("avgdl"), F.col("max_document_size").alias("maxlen"))
     terms = stats.join(props, "shard_id")
@@ -142,26 +160,31 @@ def search_shards(index: Index, shards: DataFrame, queries: DataFrame, k: int, s
 
 def postings_per_shard(index: Index, shards: DataFrame, queries: DataFrame) -> DataFrame:
     """qid, shard_id, postings: how many the query reads in each shard, zeros too."""
-    stats = shard_term_stats(shard_postings(index, shards))
+    stats = shard_term_stats(shards_of(index.hits(queries), shards))
     read = bag(queries).join(stats, "term").groupBy("qid", "shard_id").agg(F.sum(F.col("weight") * F.col("df")).cast("long").alias("postings"))
     # every query with every shard: the result's own shape
     grid = queries.select("qid").distinct().join(F.broadcast(shards.select("shard_id").distinct()))
     return grid.join(read, ["qid", "shard_id"], "left").select("qid", "shard_id", F.coalesce("postings", F.lit(0)).alias("postings"))
 
 
+def taily_shard_moments(index: Index, shards: DataFrame, queries: DataFrame, score: str = "ql") -> DataFrame:
+    """qid, shard_id (-1: the collection), n, dfs, mean, var: what the gamma distributions are fitted to."""
+    scored = index.scored_hits(score, queries)
+    by_shard = scored.join(shards.select("doc_id", "shard_id"), "doc_id").groupBy("term", "shard_id").agg(F.count("*").alias("df"), F.avg("score").alias("mean"), F.var_pop("score").alias("var"))
+    total = scored.groupBy("term").agg(F.count("*").alias("df"), F.avg("score").alias("mean"), F.var_pop("score").alias("var")).withColumn("shard_id", F.lit(-1))
+    sizes = shards.groupBy("shard_id").agg(F.count("*").alias("n"))
+    sizes = sizes.unionByName(sizes.agg(F.sum("n").alias("n")).select(F.lit(-1).alias("shard_id"), "n"))
+    stats = by_shard.unionByName(total.select(*by_shard.columns)).join(F.broadcast(sizes), "shard_id")
+    return bag(queries).join(stats, "term").groupBy("qid", "shard_id", "n").agg(F.collect_list("df").alias("dfs"), F.sum(F.col("weight") * F.col("mean")).alias("mean"), F.sum(F.col("weight") * F.col("weight") * F.col("var")).alias("var"))
+
+
 def taily_shards(index: Index, shards: DataFrame, queries: DataFrame, n_c: int = 100, score: str = "ql") -> DataFrame:
     """qid, shard_id, expected: how many of the query's best n_c documents each shard is expected to hold.
 
     Gamma distributions are fitted to the sums of the terms' scores, for the collection and for each shard;
     the cut is where n_c documents of the collection are expected above it.
     """
-    scored = index.scored(score, index.postings.join(queries.select("term").distinct(), "term", "left_semi"))
-    by_shard = scored.join(shards.select("doc_id", "shard_id"), "doc_id").groupBy("term", "shard_id").agg(F.count("*").alias("df"), F.avg("score").alias("mean"), F.var_pop("score").alias("var"))
-    total = scored.groupBy("term").agg(F.count("*").alias("df"), F.avg("score").alias("mean"), F.var_pop("score").alias("var")).withColumn("shard_id", F.lit(-1))
-    sizes = shards.groupBy("shard_id").agg(F.count("*").alias("n"))
-    sizes = sizes.unionByName(sizes.agg(F.sum("n").alias("n")).select(F.lit(-1).alias("shard_id"), "n"))
-    stats = by_shard.unionByName(total.select(*by_shard.columns)).join(F.broadcast(sizes), "shard_id")
-    rows = bag(queries).join(stats, "term").groupBy("qid", "shard_id", "n").agg(F.collect_list("df").alias("dfs"), F.sum(F.col("weight") * F.col("mean")).alias("mean"), F.sum(F.col("weight") * F.col("weight") * F.col("var")).alias("var"))
+    rows = taily_shard_moments(index, shards, queries, score)
 
     ship(index.spark)
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexigrid.sources.store import ship, written
+
 
 def document_hits(documents: DataFrame, results: DataFrame, k: int) -> DataFrame:
     """doc_id, hits: how often each document is among the first k of results(qid, rank, doc_id); zeros too."""
@@ -20,23 +25,50 @@ def precision_at(results: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     return judged.groupBy("qid").agg((F.sum(F.when(F.col("relevance") > 0, 1).otherwise(0)) / F.lit(float(k))).alias("precision"))
 
 
-def early_termination(scores: DataFrame, docmap: DataFrame, qrels: DataFrame, k: int, step: int, slack: float = 1e-4) -> DataFrame:
+def early_termination(scores: DataFrame, docmap: DataFrame, qrels: DataFrame, k: int, step: int, slack: float = 1e-4, span: int | None = None) -> DataFrame:
     """qid, documents, share: the shortest prefix of the static order, in steps of `step`, whose top-k is as precise as the whole's.
 
-    scores(qid, doc_id, score), docmap(doc_id, rank) over all documents. The top-k of a prefix lies within the
-    top-k of its steps, so each step is cut to k rows before they are repeated for the later checkpoints.
+    scores(qid, doc_id, score), docmap(doc_id, rank) over all documents. Checkpoints are scanned once, in blocks of
+    `span` steps (about the root of all) that begin with the top-k of the blocks before; only checkpoints at which
+    a query's top-k changes have a row.
     """
     n = docmap.agg(F.count("*").alias("n"))
+    if span is None:
+        span = max(1, math.isqrt(-(-n.first().n // step)))
     hits = scores.where("score <> 0").join(docmap, "doc_id").select("qid", "doc_id", F.round("score", 6).alias("score"), F.floor(F.col("rank") / step).alias("at"))
+    # a prefix's top-k lies within the top-k of its steps
     best = F.row_number().over(Window.partitionBy("qid", "at").orderBy(F.desc("score"), "doc_id"))
     hits = hits.withColumn("r", best).where(F.col("r") <= k).drop("r")
-    hits = hits.join(qrels.select("doc_id", "relevance"), "doc_id", "left").select("qid", "doc_id", "score", "at", F.when(F.col("relevance") > 0, 1).otherwise(0).alias("rel"))
-    last = F.floor((F.col("n") - 1) / step)
-    spread = hits.crossJoin(F.broadcast(n)).withColumn("point", F.explode(F.sequence(F.col("at"), last)))
-    best = F.row_number().over(Window.partitionBy("qid", "point").orderBy(F.desc("score"), "doc_id"))
-    lists = spread.withColumn("r", best).where(F.col("r") <= k)
-    precision = lists.groupBy("qid", "point").agg((F.sum("rel") / F.lit(float(k))).alias("p"), F.max("n").alias("n"))
+    hits = hits.join(qrels.select("doc_id", "relevance"), "doc_id", "left").select("qid", "doc_id", "score", "at", F.when(F.col("relevance") > 0, 1).otherwise(0).alias("rel"), F.floor(F.col("at") / span).alias("block"))
+    hits = written(hits, "checkpoints")
+    best = F.row_number().over(Window.partitionBy("qid", "block").orderBy(F.desc("score"), "doc_id"))
+    tops = hits.withColumn("r", best).where(F.col("r") <= k).drop("r")
+    ship(scores.sparkSession)
+    kinds = "qid long, block long, at long, doc_id long, score double, rel int"
+
+    def before(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The top-k of the blocks before each block but the first; k rows a block."""
+        top, out = pdf.iloc[:0], []
+        for block, own in pdf.groupby("block"):
+            out.append(top.assign(block=block))
+            top = pd.concat([top, own]).sort_values(["score", "doc_id"], ascending=[False, True]).head(k)
+        return pd.concat(out)[["qid", "block", "at", "doc_id", "score", "rel"]]
+
+    starts = tops.groupBy("qid").applyInPandas(before, kinds).withColumn("at", F.lit(-1).cast("long"))
+
+    def changes(pdf: pd.DataFrame) -> pd.DataFrame:
+        """qid, point, p at the block's checkpoints whose top-k isn't that of the one before."""
+        top, out = [], []
+        rows = pdf.sort_values(["at", "score", "doc_id"], ascending=[True, False, True])
+        for at, own in rows.groupby("at", sort=True):
+            merged = sorted([*top, *zip(-own["score"], own["doc_id"], own["rel"])])[:k]
+            if at >= 0 and merged != top:
+                out.append((rows["qid"].iloc[0], at, sum(x[2] for x in merged) / float(k)))
+            top = merged
+        return pd.DataFrame(out, columns=["qid", "point", "p"])
+
+    precision = hits.select("qid", "block", "at", "doc_id", "score", "rel").unionByName(starts).groupBy("qid", "block").applyInPandas(changes, "qid long, point long, p double")
     final = precision.groupBy("qid").agg(F.max_by("p", "point").alias("final"))
-    first = precision.join(final, "qid").where(F.col("p") >= F.col("final") - slack).groupBy("qid").agg(F.min("point").alias("point"), F.max("n").alias("n"))
+    first = precision.join(final, "qid").where(F.col("p") >= F.col("final") - slack).groupBy("qid").agg(F.min("point").alias("point")).crossJoin(F.broadcast(n))
     documents = F.least((F.col("point") + 1) * step, F.col("n"))
     return first.select("qid", documents.cast("long").alias("documents"), (documents / F.col("n")).alias("share"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,17 +36,58 @@ def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("qid",), places: int
     return ranked.withColumn("rank", (F.col("rank") - 1).cast("long")).select(*by, "rank", "doc_id", "score")
 
 
+def stemmed(queries: DataFrame) -> DataFrame:
+    """queries with their terms' stems."""
+    terms = queries.select("term").distinct().withColumn("stem", stem_column("term"))
+    return queries.join(terms, "term").withColumn("term", F.col("stem")).drop("stem")
+
+
 def search(index: Index, queries: DataFrame, k: int = 10, score: str = "bm25", stem: bool = False) -> DataFrame:
     """qid, rank, doc_id, score. A score name with a dash is a precomputed, quantised one."""
     if stem:
-        terms = queries.select("term").distinct().withColumn("stem", stem_column("term"))
-        queries = queries.join(terms, "term").withColumn("term", F.col("stem")).drop("stem")
+        queries = stemmed(queries)
     if "-" in score:
         if score not in index.scores:
             raise ValueError(f"scores {score!r} aren't loaded; there are {sorted(index.scores)}")
-        return top_k(accumulate(queries, index.scores[score], "q"), k)
-    hit = index.postings.join(bag(queries).select("term").distinct(), "term", "left_semi")
-    return top_k(accumulate(queries, index.scored(score, hit)), k)
+        return top_k(accumulate(queries, index.hits(queries, index.scores[score]), "q"), k)
+    return top_k(accumulate(queries, index.scored_hits(score, queries)), k)
+
+
+@dataclass
+class QueryEngine:
+    """Searches of one index with fixed choices: score function or stored scores, traversal, stemming.
+
+    Traversals give the same result. Term-at-a-time and document-at-a-time are one aggregation here;
+    "wand" and "maxscore" skip documents that no essential term has, by stored statistics.
+    """
+
+    index: Index
+    score: str = "bm25"
+    traversal: str = "daat"
+    stem: bool = False
+    TRAVERSALS = ("taat", "daat", "wand", "maxscore")
+
+    def __post_init__(self):
+        if self.traversal not in self.TRAVERSALS:
+            raise ValueError(f"unknown traversal {self.traversal!r}; known: {self.TRAVERSALS}")
+        if self.quantized and self.score not in self.index.scores:
+            raise ValueError(f"scores {self.score!r} aren't loaded; there are {sorted(self.index.scores)}")
+
+    @property
+    def quantized(self) -> bool:
+        return "-" in self.score
+
+    def run(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """qid, rank, doc_id, score of queries(qid, pos, term[, weight])."""
+        if self.traversal in ("wand", "maxscore") and self.score in self.index.stats:
+            if self.stem:
+                queries = stemmed(queries)
+            return pruned_search(self.index, queries, self.index.stats[self.score], k, self.score)
+        return search(self.index, queries, k, self.score, self.stem)
+
+    def titled(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """The results with the documents' titles."""
+        return self.run(queries, k).join(self.index.documents.select("doc_id", "title"), "doc_id").select("qid", "rank", "doc_id", "title", "score")
 
 
 def term_bounds(queries: DataFrame, stats: DataFrame) -> DataFrame:
@@ -62,19 +104,20 @@ def essential_terms(queries: DataFrame, stats: DataFrame, thresholds: DataFrame)
 
 
 def pruned_search(index: Index, queries: DataFrame, stats: DataFrame, k: int, score: str = "bm25", slack: float = 1e-5) -> DataFrame:
-    """The same result as search() with fewer postings: only documents with a term that is essential for a lower bound of the k-th score are scored.
+    """The same result as search(): only documents with a term that is essential for a lower bound of the k-th score go to the top-k.
 
-    The lower bound is the greatest, over the query's terms, of the term's own k-th score.
+    stats: those of add_stats(), or of score_stats(), by which every term is essential. The lower bound is the greatest,
+    over the query's terms, of the term's own k-th score, which the statistics hold (none if they hold fewer). One pass over the postings: whether a document has an
+    essential term is summed up beside its score.
     """
-    hit = index.postings.join(queries.select("term").distinct(), "term", "left_semi")
-    each = index.scored(score, hit)
-    w = Window.partitionBy("term").orderBy(F.desc("score"))
-    kth = each.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("term").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k)
+    asked = stats.join(queries.select("term").distinct(), "term", "left_semi")
+    kth = asked.select("term", (F.try_element_at("top", F.lit(k)) if "top" in stats.columns else F.lit(None).cast("double")).alias("kth"))
     low = bag(queries).join(kth, "term").groupBy("qid").agg(F.max(F.col("weight") * F.col("kth")).alias("threshold")).withColumn("threshold", F.col("threshold") - slack)
-    needed = essential_terms(queries, stats, low).where("essential").select("qid", "term")
-    candidates = needed.join(each.select("term", "doc_id"), "term").select("qid", "doc_id").distinct()
-    full = bag(queries).join(each, "term").join(candidates, ["qid", "doc_id"], "left_semi")
-    return top_k(full.groupBy("qid", "doc_id").agg(F.sum(F.col("weight") * F.col("score")).alias("score")), k)
+    needed = essential_terms(queries, asked, low).select("qid", "term", "essential")
+    weights = bag(queries).join(needed, ["qid", "term"])
+    hits = weights.join(index.scored_hits(score, queries), "term")
+    sums = hits.groupBy("qid", "doc_id").agg(F.sum(F.col("weight") * F.col("score")).alias("score"), F.max("essential").alias("essential"))
+    return top_k(sums.where("essential").drop("essential"), k)
 
 
 def thresholds(results: DataFrame, k: int) -> DataFrame:
@@ -88,20 +131,26 @@ def count_above(scores: DataFrame, limits: DataFrame) -> DataFrame:
     return limits.select("qid").join(s.groupBy("qid").agg(F.count("*").alias("documents")), "qid", "left").select("qid", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
-def score_at_a_time(queries: DataFrame, scored: DataFrame, k: int, share: float, places: int = 6) -> DataFrame:
-    """Top-k from the query's best ceil(share n) postings alone (score falling, then doc_id and term)."""
+def score_at_a_time(queries: DataFrame, scored: DataFrame, k: int, share: float, places: int = 6, width: float = 1e-3) -> DataFrame:
+    """Top-k from the query's best ceil(share n) postings alone (score falling, then doc_id and term).
+
+    A histogram of scores in steps of `width` tells the step in which the query's last posting lies; those above
+    are taken whole, and only that step's are ranked.
+    """
     hits = bag(queries).join(scored, "term").select("qid", "term", "doc_id", F.round(F.col("weight") * F.col("score"), places).alias("score"))
-    # the window's key is the query: one query's postings are what a query reads anyway
-    w = Window.partitionBy("qid")
-    ranked = hits.withColumn("n", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("score"), "doc_id", "term")))
-    taken = ranked.where(F.col("r") <= F.ceil(F.col("n") * share))
+    hits = hits.withColumn("bin", F.floor(F.col("score") / width))
+    bins = hits.groupBy("qid", "bin").agg(F.count("*").alias("n"))
+    down = Window.partitionBy("qid").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("before", F.coalesce(F.sum("n").over(down), F.lit(0))).withColumn("take", F.ceil(F.sum("n").over(Window.partitionBy("qid")) * share))
+    marked = hits.join(bins.where("before < take").select("qid", "bin", (F.col("take") - F.col("before")).alias("room"), (F.col("before") + F.col("n") > F.col("take")).alias("last")), ["qid", "bin"])
+    r = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id", "term"))
+    taken = marked.where("not last").select("qid", "doc_id", "score").unionByName(marked.where("last").withColumn("r", r).where("r <= room").select("qid", "doc_id", "score"))
     return top_k(taken.groupBy("qid", "doc_id").agg(F.sum("score").alias("score")), k, places=places)
 
 
 def rescore(index: Index, candidates: DataFrame, queries: DataFrame, score: str = "bm25") -> DataFrame:
     """qid, doc_id, score of candidates(qid, doc_id), exact."""
-    hit = index.postings.join(queries.select("term").distinct(), "term", "left_semi")
-    wanted = bag(queries).join(index.scored(score, hit), "term").join(candidates.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_semi")
+    wanted = bag(queries).join(index.scored_hits(score, queries), "term").join(candidates.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_semi")
     return wanted.groupBy("qid", "doc_id").agg(F.sum(F.col("weight") * F.col("score")).alias("score"))
 
 
@@ -159,12 +208,17 @@ def _expected_any(dfs: list[float], n: float) -> float:
     return n * (1 - none)
 
 
+def taily_moments(queries: DataFrame, stats: DataFrame) -> DataFrame:
+    """qid, dfs, mean, var: what a query's gamma distribution is fitted to, from stats(term, df, mean, var)."""
+    return bag(queries).join(stats, "term").groupBy("qid").agg(F.collect_list("df").alias("dfs"), F.sum(F.col("weight") * F.col("mean")).alias("mean"), F.sum(F.col("weight") * F.col("weight") * F.col("var")).alias("var"))
+
+
 def taily_threshold(queries: DataFrame, stats: DataFrame, n_documents: int, k: int) -> DataFrame:
     """qid, estimate: the score that k documents are expected to pass, from a gamma distribution fitted to the sum of the terms' scores.
 
     stats(term, df, mean, var). Of the documents, sum over terms of weight * mean * df / n is the mean score.
     """
-    moments = bag(queries).join(stats, "term").groupBy("qid").agg(F.collect_list("df").alias("dfs"), F.sum(F.col("weight") * F.col("mean")).alias("mean"), F.sum(F.col("weight") * F.col("weight") * F.col("var")).alias("var"))
+    moments = taily_moments(queries, stats)
 
     ship(queries.sparkSession)
 

@@ -94,7 +94,10 @@ def index(spark: SparkSession, d: str) -> Index:
     """The index of a folder's documents, built once in a session: its tables lie in the shared folder."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _indexes:
-        _indexes[key] = ix_.build_index(titled(spark, d))
+        ix = ix_.build_index(titled(spark, d))
+        ix_.add_quantized(ix, "bm25", 8)
+        ix_.add_stats(ix, "bm25", K)
+        _indexes[key] = ix
     return _indexes[key]
 
 
@@ -121,8 +124,7 @@ def qrels(spark: SparkSession, d: str) -> DataFrame:
 
 def accumulated(spark: SparkSession, d: str, score: str = "bm25") -> DataFrame:
     ix, q = index(spark, d), log(spark, d)
-    hit = ix.postings.join(q.select("term").distinct(), "term", "left_semi")
-    return retrieval.accumulate(q, ix.scored(score, hit))
+    return retrieval.accumulate(q, ix.scored_hits(score, q))
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -170,29 +172,29 @@ def _(spark, d):
     return text.part_lines(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "n_chars"), 100, ["doc_id"])
 
 
-_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
+_CLEAN = "html"
+for _pattern, _put in ((r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->", " "), (r"(?s)<[^>]*>", " ")):
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_pattern}', '{_put}', 'g')"
+for _name, _code in (("&lt;", 60), ("&gt;", 62), ("&quot;", 34), ("&nbsp;", 32), ("&copy;", 169), ("&middot;", 183), ("&amp;", 38), ("&amp", 38)):
+    _CLEAN = f"replace({_CLEAN}, '{_name}', chr({_code}))"
+#: The pages' text by patterns and a table of entities, where the engine has a parser.
+_CLEAN = rf"trim(regexp_replace({_CLEAN}, '[ \t\n\x0B\f\r]+', ' ', 'g'))"
 
 
 @query("html_cleantext", "", f"SELECT page_id, {_CLEAN} AS body FROM pages")
-def _(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", text.html_text_regex(F.col("html")).alias("body"))
-
-
-@query("html_cleantext_dom")
 def _(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", text.html_text(F.col("html")).alias("body"))
 
 
-@query("page_extract", "", f"SELECT concat_ws(chr(9), 'page-' || lpad(CAST(page_id AS VARCHAR), 8, '0'), url, CAST(length(html) AS VARCHAR), {_CLEAN}) AS line FROM pages")
+@query("html_tagless", "", r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS body FROM pages")
 def _(spark, d):
-    p = spark.read.parquet(f"{d}/pages.parquet")
-    return p.select(F.concat_ws("\t", F.format_string("page-%08d", "page_id"), "url", F.length("html").cast("string"), text.html_text_regex(F.col("html"))).alias("line"))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", text.html_text_regex(F.col("html")).alias("body"))
 
 
-@query("warc_records")
-def _(spark, d):
-    """The pages, written as gzip archives and read again."""
+def archived(spark: SparkSession, d: str) -> DataFrame:
+    """The records of the pages, written as gzip archives (a file for some hundred pages) and read again."""
     import gzip as gz
+    import uuid
 
     import pandas as pd
     import pyarrow as pa
@@ -200,11 +202,9 @@ def _(spark, d):
 
     from lexigrid.sources.store import shared_dir
 
-    folder = f"{shared_dir(spark)}/warc-{abs(hash((d, spark.sparkContext.applicationId)))}"
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex[:12]}"
 
     def write(batches):
-        import uuid
-
         place, path = fs.FileSystem.from_uri(folder)
         place.create_dir(path, recursive=True)
         for pdf in batches:
@@ -214,14 +214,26 @@ def _(spark, d):
                 body = (h or "").encode()
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n".encode()
                 parts.append(f"WARC/1.0\r\nWARC-Type: response\r\nWARC-TREC-ID: page-{i:08d}\r\nWARC-Target-URI: {u}\r\nContent-Length: {len(http) + len(body)}\r\n\r\n".encode() + http + body + b"\r\n\r\n")
-            with place.open_output_stream(name + ".tmp") as f:
+            with place.open_output_stream(name, compression=None) as f:
                 f.write(pa.py_buffer(gz.compress(b"".join(parts))))
-            place.move(name + ".tmp", name)
             yield pd.DataFrame({"path": [folder + "/" + name.rsplit("/", 1)[1]]})
 
     pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html")
-    paths = [r.path for r in written(pages.mapInPandas(write, "path string"), "warc-files").collect()]  # a name for each file
-    return text.warc_extract(text.read_warc(spark, paths))
+    # a task that ran twice left a file that no row names; the distinct names are few, one for each batch of pages
+    names = [r.path for r in written(pages.mapInPandas(write, "path string"), "warc-files").collect()]
+    return text.read_warc(spark, names)
+
+
+@query("warc_records", "", "SELECT '1.0' AS version, 'response' AS kind, 'page-' || lpad(CAST(page_id AS VARCHAR), 8, '0') AS trec_id, url, CAST(strlen(html) AS VARCHAR) AS size, html AS content FROM pages")
+def _(spark, d):
+    w, h = F.col("warc_fields"), F.col("http_fields")
+    return archived(spark, d).select("version", w["WARC-Type"].alias("kind"), w["WARC-TREC-ID"].alias("trec_id"), w["WARC-Target-URI"].alias("url"), h["Content-Length"].alias("size"), "content")
+
+
+@query("page_extract", "", f"SELECT concat_ws(chr(9), 'page-' || lpad(CAST(page_id AS VARCHAR), 8, '0'), url, CAST(strlen(html) AS VARCHAR), {_CLEAN}) AS line FROM pages")
+def _(spark, d):
+    r = text.warc_extract(archived(spark, d))
+    return r.select(F.concat_ws("\t", "trec_id", "url", F.col("size").cast("string"), "body").alias("line"))
 
 
 @query("stem_terms")
@@ -324,12 +336,13 @@ def _(spark, d):
 
 
 def quantized(spark, d) -> DataFrame:
-    return ix_.quantized(rounded(index(spark, d).scored("bm25"), "score"), 8)
+    """The stored scores."""
+    return index(spark, d).scores["bm25-8"].select("term", "doc_id", "q")
 
 
 @query("term_scored_postings", "quant", "SELECT doc_id, q FROM quant WHERE term = 'and'")
 def _(spark, d):
-    return quantized(spark, d).where("term = 'and'").select("doc_id", "q")
+    return ix_.scores_of(index(spark, d), "bm25-8", ["and"]).select("doc_id", "q")
 
 
 @query("query_postings", "q post", "SELECT qid, pos, term, doc_id, CAST(tf AS INTEGER) AS tf FROM q JOIN post USING (term)")
@@ -345,7 +358,39 @@ def _(spark, d):
 @query("posting_lookup", "q post", "SELECT DISTINCT qid, term, doc_id, CAST(tf AS INTEGER) AS tf FROM q JOIN post USING (term) WHERE doc_id = qid")
 def _(spark, d):
     asked = log(spark, d).select("qid", "term", F.col("qid").alias("doc_id")).distinct()
-    return asked.join(index(spark, d).postings, ["term", "doc_id"]).select("qid", "term", "doc_id", "tf")
+    return ix_.posting_of(index(spark, d), asked).select("qid", "term", "doc_id", "tf")
+
+
+@query("posting_lookup_scores", "q quant", "SELECT DISTINCT qid, term, doc_id, q FROM q JOIN quant USING (term) WHERE doc_id = qid")
+def _(spark, d):
+    asked = log(spark, d).select("qid", "term", F.col("qid").alias("doc_id")).distinct()
+    return ix_.posting_of(index(spark, d), asked, "bm25-8").select("qid", "term", "doc_id", "q")
+
+
+@query("id_to_term", "lex", "SELECT term_id, lex.term FROM (SELECT doc_id * 3 AS term_id FROM documents) LEFT JOIN lex USING (term_id)")
+def _(spark, d):
+    return index(spark, d).term(spark.read.parquet(f"{d}/documents.parquet").select((F.col("doc_id") * 3).alias("term_id")))
+
+
+@query("id_to_title", "docs", "SELECT t.doc_id, docs.title FROM (SELECT page_id * 7 AS doc_id FROM pages) t LEFT JOIN docs USING (doc_id)")
+def _(spark, d):
+    return index(spark, d).title(spark.read.parquet(f"{d}/pages.parquet").select((F.col("page_id") * 7).alias("doc_id")))
+
+
+@query("vector_lookup", "sizes", "SELECT doc_id, CAST(size AS INTEGER) AS size FROM sizes WHERE doc_id IN (0, 7, 100)")
+def _(spark, d):
+    return text.vector(index(spark, d).documents, "size", "doc_id", [0, 7, 100])
+
+
+@query("symbol_frequencies", "", "SELECT CAST('0x' || h AS INTEGER) AS symbol, count(*) AS n FROM (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents) GROUP BY h")
+def _(spark, d):
+    return text.symbol_frequencies(F.col("text"), spark.read.parquet(f"{d}/documents.parquet"))
+
+
+@query("accumulate_while", "docs", "SELECT doc_id, CAST(coalesce(list_sum(n[:p]), 0) AS BIGINT) AS total, CAST(p AS INTEGER) AS place FROM (SELECT doc_id, n, coalesce(list_position(list_transform(n, lambda x: x >= 9), true), len(n) + 1) - 1 AS p FROM (SELECT doc_id, list_transform(terms, lambda x: length(x)) AS n FROM docs))")
+def _(spark, d):
+    got = text.accumulate_while(F.transform("terms", lambda x: F.length(x).cast("long")), lambda x: x < 9, F.lit(0).cast("long"))
+    return titled(spark, d).select("doc_id", got.alias("a")).select("doc_id", F.col("a.sum").alias("total"), F.col("a.place").alias("place"))
 
 
 @query("terminfo", "q lex", "SELECT term, coalesce(term_id, -1) AS term_id, coalesce(df, 0) AS df, coalesce(cf, 0) AS cf FROM (SELECT DISTINCT term FROM q UNION SELECT 'no such term') LEFT JOIN lex USING (term)")
@@ -418,23 +463,23 @@ for _name in ("bm25", "ql"):
 
 @query("taat_scores", "q post", "SELECT qid, doc_id, CAST(sum(tf) AS DOUBLE) AS score FROM q JOIN post USING (term) GROUP BY qid, doc_id")
 def _(spark, d):
-    return retrieval.accumulate(log(spark, d), index(spark, d).postings, "tf")
+    return retrieval.accumulate(log(spark, d), index(spark, d).pruned(log(spark, d)), "tf")
 
 
 @query("taat_mapped", "q post dmap", "SELECT qid, rank, CAST(sum(tf) AS DOUBLE) AS score FROM q JOIN post USING (term) JOIN dmap USING (doc_id) GROUP BY qid, rank")
 def _(spark, d):
-    return retrieval.accumulate(log(spark, d), index(spark, d).postings, "tf").join(static_order(spark, d), "doc_id").select("qid", "rank", "score")
+    return retrieval.accumulate(log(spark, d), index(spark, d).pruned(log(spark, d)), "tf").join(static_order(spark, d), "doc_id").select("qid", "rank", "score")
 
 
 @query("block_max", "q post", "SELECT qid, doc_id // 64 AS block, max(score) AS score FROM (SELECT qid, doc_id, CAST(sum(tf) AS DOUBLE) AS score FROM q JOIN post USING (term) GROUP BY qid, doc_id) GROUP BY qid, doc_id // 64")
 def _(spark, d):
-    acc = retrieval.accumulate(log(spark, d), index(spark, d).postings, "tf")
+    acc = retrieval.accumulate(log(spark, d), index(spark, d).pruned(log(spark, d)), "tf")
     return acc.groupBy("qid", F.floor(F.col("doc_id") / 64).alias("block")).agg(F.max("score").alias("score"))
 
 
 @query("postings_union_sum", "q post", "SELECT doc_id, CAST(sum(tf) AS BIGINT) AS tf FROM post WHERE term IN (SELECT term FROM q) GROUP BY doc_id")
 def _(spark, d):
-    return index(spark, d).postings.join(vocabulary(spark, d), "term", "left_semi").groupBy("doc_id").agg(F.sum("tf").alias("tf"))
+    return index(spark, d).hits(vocabulary(spark, d)).groupBy("doc_id").agg(F.sum("tf").alias("tf"))
 
 
 @query("posting_count", "q stats", "SELECT qid, CAST(sum(df) AS BIGINT) AS postings FROM q JOIN stats USING (term) GROUP BY qid")
@@ -469,7 +514,7 @@ def _(spark, d):
 
 @query("quantized_topk", "q quant", ranked("SELECT qid, doc_id, CAST(sum(q) AS DOUBLE) AS score FROM q JOIN quant USING (term) GROUP BY qid, doc_id"))
 def _(spark, d):
-    return retrieval.top_k(retrieval.accumulate(log(spark, d), quantized(spark, d), "q"), K)
+    return retrieval.search(index(spark, d), log(spark, d), K, "bm25-8")
 
 
 @query("weighted_topk", "q bm25", ranked("SELECT qid, doc_id, round(sum(score / (1 + pos)), 6) AS score FROM q JOIN bm25 USING (term) GROUP BY qid, doc_id"))
@@ -480,8 +525,7 @@ def _(spark, d):
 
 @query("wand_topk", "top", "SELECT * FROM top")
 def _(spark, d):
-    ix = index(spark, d)
-    return retrieval.pruned_search(ix, log(spark, d), ix_.score_stats(ix.scored("bm25")), K)
+    return retrieval.QueryEngine(index(spark, d), "bm25", "wand").run(log(spark, d), K)
 
 
 @query(
@@ -491,8 +535,7 @@ def _(spark, d):
 )
 def _(spark, d):
     ix, q = index(spark, d), log(spark, d)
-    stats = ix_.score_stats(ix.scored("bm25"))
-    return retrieval.essential_terms(q, stats, retrieval.thresholds(retrieval.search(ix, q, K), K))
+    return retrieval.essential_terms(q, ix.stats["bm25"], retrieval.thresholds(retrieval.search(ix, q, K), K))
 
 
 @query("threshold_exact", "thr", "SELECT qid, threshold FROM thr")
@@ -505,10 +548,24 @@ def _(spark, d):
     return retrieval.count_above(accumulated(spark, d), retrieval.thresholds(retrieval.search(index(spark, d), log(spark, d), K), K))
 
 
+def term_moments(spark: SparkSession, d: str) -> DataFrame:
+    scored = index(spark, d).scored_hits("bm25", log(spark, d))
+    return scored.groupBy("term").agg(F.count("*").cast("double").alias("df"), F.avg("score").alias("mean"), F.var_pop("score").alias("var"))
+
+
+@query(
+    "taily_moments",
+    "q bm25",
+    "SELECT qid, count(*) AS terms, CAST(sum(df) AS DOUBLE) AS postings, round(sum(w * mean), 6) AS mean, round(sum(w * w * v), 6) AS var FROM (SELECT qid, term, count(*) AS w FROM q GROUP BY qid, term) JOIN (SELECT term, count(*) AS df, avg(score) AS mean, var_pop(score) AS v FROM bm25 GROUP BY term) USING (term) GROUP BY qid",
+)
+def _(spark, d):
+    m = retrieval.taily_moments(log(spark, d), term_moments(spark, d))
+    return rounded(m.select("qid", F.size("dfs").cast("long").alias("terms"), F.aggregate("dfs", F.lit(0.0), lambda a, x: a + x).alias("postings"), "mean", "var"), "mean", "var")
+
+
 @query("threshold_taily")
 def _(spark, d):
-    ix = index(spark, d)
-    stats = ix.scored("bm25").groupBy("term").agg(F.count("*").cast("double").alias("df"), F.avg("score").alias("mean"), F.var_pop("score").alias("var"))
+    ix, stats = index(spark, d), term_moments(spark, d)
     estimate = retrieval.taily_threshold(log(spark, d), stats, ix.properties.first().documents, K)
     above = retrieval.count_above(accumulated(spark, d), estimate.withColumnRenamed("estimate", "threshold"))
     return estimate.join(above, "qid").select("qid", "estimate", "documents")
@@ -521,8 +578,7 @@ def _(spark, d):
 )
 def _(spark, d):
     ix, q = index(spark, d), log(spark, d)
-    hit = ix.postings.join(q.select("term").distinct(), "term", "left_semi")
-    return retrieval.score_at_a_time(q, ix.scored("bm25", hit), K, 0.5)
+    return retrieval.score_at_a_time(q, ix.scored_hits("bm25", q), K, 0.5)
 
 
 @query("trec_run", "top docs", "SELECT concat_ws(chr(9), CAST(qid AS VARCHAR), 'Q0', title, CAST(rank AS VARCHAR), printf('%.6f', score), 'run') AS line FROM top JOIN docs USING (doc_id)")
@@ -531,6 +587,16 @@ def _(spark, d):
     return text.trec_lines(retrieval.search(ix, log(spark, d), K).join(ix.documents.select("doc_id", "title"), "doc_id"), "run")
 
 
+@query("plain_run", "top docs", "SELECT concat_ws(chr(9), title, printf('%.6f', score)) AS line FROM top JOIN docs USING (doc_id)")
+def _(spark, d):
+    return text.plain_lines(retrieval.QueryEngine(index(spark, d)).titled(log(spark, d), K))
+
+
+@query("csv_run", "stop", "SELECT concat_ws(',', CAST(qid AS VARCHAR), CAST(shard_id AS VARCHAR), CAST(rank AS VARCHAR), CAST(doc_id AS VARCHAR), printf('%.6f', score)) AS line FROM stop")
+def _(spark, d):
+    return text.csv_lines(collection.shard_results(index(spark, d), shards(spark, d), log(spark, d), K))
+
+
 # collections and shards
 
 

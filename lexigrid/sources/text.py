@@ -5,10 +5,12 @@ from __future__ import annotations
 import gzip
 import io
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -48,9 +50,42 @@ def part_lines(lines: DataFrame, limit: int, order: list[str], prefix: str = "pa
     )
 
 
-def write_parts(lines: DataFrame, limit: int, order: list[str], path: str, value: str = "value", prefix: str = "part") -> None:
-    """The parts as text, a folder each."""
-    part_lines(lines, limit, order, prefix).repartition("part").sortWithinPartitions("part", "line_in_part").select("part", value).write.partitionBy("part").text(path)
+def with_header(parts: DataFrame, header: str, value: str = "value") -> DataFrame:
+    """Parts of part_lines() with the header as their first line, line_in_part -1."""
+    heads = parts.select("part").distinct().select("part", F.lit(-1).cast("long").alias("line_in_part"), F.lit(header).alias(value))
+    return parts.select("part", "line_in_part", value).unionByName(heads)
+
+
+def write_parts(lines: DataFrame, limit: int, order: list[str], path: str, value: str = "value", prefix: str = "part", header: str | None = None) -> None:
+    """The parts as text, a folder each; a header line is repeated in each."""
+    parts = part_lines(lines, limit, order, prefix).select("part", "line_in_part", value)
+    if header is not None:
+        parts = with_header(parts, header, value)
+    parts.repartition("part").sortWithinPartitions("part", "line_in_part").select("part", value).write.partitionBy("part").text(path)
+
+
+def read_columns(spark: SparkSession, path: str, separator: str = "\t", header: bool = True) -> DataFrame:
+    """Delimited columns as strings, named by the first line; without one c0, c1, ..."""
+    df = spark.read.csv(path, sep=separator, header=header, quote="", escape="")
+    return df if header else df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def vector(df: DataFrame, value: str, index: str, numbers: list[int] | None = None) -> DataFrame:
+    """index, value of a column as a vector; with numbers only these places."""
+    return (df if numbers is None else df.where(F.col(index).isin(numbers))).select(index, value)
+
+
+def symbol_frequencies(text: Column, df: DataFrame) -> DataFrame:
+    """symbol, n: how often each byte stands in a column of texts."""
+    each = F.explode(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"), F.lit(1)))
+    return df.select(each.alias("h")).groupBy("h").agg(F.count("*").alias("n")).select(F.conv("h", 16, 10).cast("int").alias("symbol"), "n")
+
+
+def accumulate_while(values: Column, limit: Callable[[Column], Column], start: Column) -> Column:
+    """Of an array of numbers: the sum of the leading ones for which limit(value) holds, with start, and how many these are."""
+    step = lambda a, x: F.when(a["on"] & limit(x), F.struct((a["sum"] + x).alias("sum"), (a["place"] + 1).alias("place"), F.lit(True).alias("on"))).otherwise(F.struct(a["sum"].alias("sum"), a["place"].alias("place"), F.lit(False).alias("on")))
+    got = F.aggregate(values, F.struct(start.alias("sum"), F.lit(0).alias("place"), F.lit(True).alias("on")), step)
+    return F.struct(got["sum"].alias("sum"), got["place"].alias("place"))
 
 
 class WarcError(ValueError):
@@ -93,21 +128,56 @@ def warc_records(stream: io.BufferedIOBase) -> Iterator[tuple[str, dict[str, str
         yield m[1], warc, http, stream.read(int(size)) if http else b""
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """version, warc_fields, http_fields, content of the records of WARC files, gzip or plain; a file is one task's work."""
+class _Raw(io.RawIOBase):
+    """A file of pyarrow as Python's buffered readers want it."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file = file
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        got = self.file.read(len(into))
+        into[: len(got)] = got
+        return len(got)
+
+
+_WARC_ROWS, _WARC_BYTES = 1000, 16 << 20
+
+
+def read_warc(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """version, warc_fields, http_fields, content of the records of WARC files, gzip or plain.
+
+    Files are read as streams, in their executors: a task holds one record and some megabytes of rows, not a file.
+    """
 
     ship(spark)
+    kinds = pa.map_(pa.string(), pa.string())
+    schema = pa.schema([("version", pa.string()), ("warc_fields", kinds), ("http_fields", kinds), ("content", pa.string())])
 
     def parse(batches):
-        for pdf in batches:
-            for content in pdf["content"]:
-                raw = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                rows = list(warc_records(io.BytesIO(raw)))
-                yield pd.DataFrame(
-                    {"version": [r[0] for r in rows], "warc_fields": [r[1] for r in rows], "http_fields": [r[2] for r in rows], "content": [r[3].decode("utf-8", "replace") for r in rows]}
-                )
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "version string, warc_fields map<string,string>, http_fields map<string,string>, content string")
+        for b in batches:
+            for uri in b.column("path").to_pylist():
+                place, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+                with place.open_input_stream(at, compression=None) as raw:
+                    stream = io.BufferedReader(_Raw(raw), 1 << 20)
+                    if stream.peek(2)[:2] == b"\x1f\x8b":
+                        stream = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 20)
+                    rows, size = [], 0
+                    for version, warc, http, content in warc_records(stream):
+                        rows.append((version, list(warc.items()), list(http.items()), content.decode("utf-8", "replace")))
+                        size += len(content)
+                        if len(rows) >= _WARC_ROWS or size >= _WARC_BYTES:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                            rows, size = [], 0
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    # only the names are read here; a partition a file, as far as there are cores for it
+    names = spark.read.format("binaryFile").load(path).select("path")
+    names = names.repartition(max(1, 2 * spark.sparkContext.defaultParallelism))
+    return names.mapInArrow(parse, "version string, warc_fields map<string,string>, http_fields map<string,string>, content string")
 
 
 def warc_extract(records: DataFrame) -> DataFrame:
@@ -164,3 +234,16 @@ def html_text_regex(html: Column) -> Column:
 def trec_lines(results: DataFrame, run_id: str, first_id: int = 0) -> DataFrame:
     """results(qid, rank, title, score) as the six columns of a run file."""
     return results.select(F.concat_ws("\t", (F.col("qid") + first_id).cast("string"), F.lit("Q0"), "title", F.col("rank").cast("string"), F.format_string("%.6f", "score"), F.lit(run_id)).alias("line"))
+
+
+def plain_lines(results: DataFrame) -> DataFrame:
+    """results(title, score) as lines of a title and a score."""
+    return results.select(F.concat_ws("\t", "title", F.format_string("%.6f", "score")).alias("line"))
+
+
+def csv_lines(results: DataFrame) -> DataFrame:
+    """results(qid, shard_id, rank, doc_id, score) as the lines of a table query,shard,rank,document,score (its header is CSV_HEADER)."""
+    return results.select(F.concat_ws(",", *(F.col(c).cast("string") for c in ("qid", "shard_id", "rank", "doc_id")), F.format_string("%.6f", "score")).alias("line"))
+
+
+CSV_HEADER = "query,shard,rank,document,score"

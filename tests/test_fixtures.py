@@ -224,6 +224,145 @@ def test_pruned_search_is_exact(spark):
     assert rows(a, *a.columns) == rows(b, *a.columns)
 
 
+#: Ten short documents, the words of each in the order of their ends (scores don't depend on places).
+BAGS = [
+    "amet, elit. adipiscing Lorem ipsum dolor consectetur sit",
+    "suscipit, vestibulum. nunc Proin odio ullamcorper metus placerat et eu",
+    "feugiat, eget, dolor. gravida ipsum non libero Mauris aliquet",
+    "sed, hendrerit, ante. malesuada Nullam ipsum non tellus placerat",
+    "bibendum. Donec aliquam sapien libero semper imperdiet",
+    "tincidunt, fermentum. lacinia nunc Nam ipsum in libero ullamcorper at",
+    "leo. vehicula id ante vel Aliquam dignissim in dolor at",
+    "ultricies. vitae enim pretium Maecenas mollis mauris",
+    "scelerisque, gravida. ligula urna dignissim bibendum felis Vivamus eget amet sit",
+    "tempor. massa euismod ante in pulvinar Cras",
+]
+
+
+@pytest.fixture(scope="module")
+def lorem(spark):
+    docs = spark.createDataFrame([(i, f"Doc{i:02}", b.split()) for i, b in enumerate(BAGS)], "doc_id long, title string, terms array<string>")
+    ix = ix_.build_index(docs)
+    ix_.add_quantized(ix, "bm25", 8)
+    ix_.add_stats(ix, "bm25")
+    return ix
+
+
+@pytest.mark.parametrize("score", ["bm25", "bm25-8", "ql"])
+@pytest.mark.parametrize("traversal", retrieval.QueryEngine.TRAVERSALS)
+def test_query_engine(spark, lorem, score, traversal):
+    q = spark.createDataFrame([(0, 0, "ipsum")], "qid long, pos int, term string")
+    engine = retrieval.QueryEngine(lorem, score, traversal)
+    assert engine.quantized == (score == "bm25-8")
+    assert [r.doc_id for r in engine.run(q, 2).orderBy("rank").collect()] == [0, 2]
+    assert [r.title for r in engine.titled(q, 2).orderBy("rank").collect()] == ["Doc00", "Doc02"]
+
+
+def test_query_engine_choices(spark, lorem):
+    for bad in ({"traversal": "none"}, {"score": "ql-8"}):
+        with pytest.raises(ValueError):
+            retrieval.QueryEngine(lorem, **bad)
+    ix = ix_.build_index(spark.createDataFrame([(0, "a", ["get"]), (1, "b", ["got", "x"])], "doc_id long, title string, terms array<string>"))
+    q = spark.createDataFrame([(0, 0, "getting")], "qid long, pos int, term string")
+    assert retrieval.QueryEngine(ix, "count").run(q).count() == 0
+    assert rows(retrieval.QueryEngine(ix, "count", stem=True).run(q), "doc_id") == [(0,)]
+
+
+def test_mini_collection(spark, lorem):
+    assert [r.size for r in lorem.documents.orderBy("doc_id").collect()] == [8, 10, 9, 9, 7, 10, 10, 7, 11, 7]
+    p = lorem.properties.first()
+    assert (p.documents, p.occurrences, p.max_document_size) == (10, 88, 11) and p.avg_document_size == pytest.approx(8.8)
+    terms = [r.term for r in lorem.lexicon.orderBy("term_id").collect()]
+    assert len(terms) == 72 and lorem.postings.count() == 88 and terms[:3] == ["Aliquam", "Cras", "Donec"] and terms[-2:] == ["vestibulum.", "vitae"]
+    assert rows(lorem.lexicon.where("df >= 3"), "term", "df", "cf") == [("in", 3, 3), ("ipsum", 4, 4), ("libero", 3, 3)]
+    assert rows(ix_.scores_of(lorem, "bm25-8", ["ipsum"]), "doc_id", "q") == [(0, 49), (2, 48), (3, 48), (5, 47)]
+    stats = lorem.stats["bm25"].where("term = 'ipsum'").first()
+    assert (stats.max, stats.mean) == pytest.approx((0.377074, 0.365633), abs=1e-6) and stats["var"] == pytest.approx(6.3504e-05, rel=1e-3)
+    assert list(stats.top) == pytest.approx([0.377074, 0.365460, 0.365460, 0.354539], abs=1e-6)
+    ends = ix_.score_range(lorem.scored("bm25")).first()
+    assert (ends.min, ends.max) == pytest.approx((0, 1.95488), abs=1e-5)
+    ids = spark.createDataFrame([(0,), (71,), (72,)], "term_id long")
+    assert sorted(((r.term_id, r.term) for r in lorem.term(ids).collect())) == [(0, "Aliquam"), (71, "vitae"), (72, None)]
+    assert lorem.title(spark.createDataFrame([(3,)], "doc_id long")).first().title == "Doc03"
+    q = spark.createDataFrame([(0, 0, "ipsum")], "qid long, pos int, term string")
+    assert rows(retrieval.search(lorem.in_memory(), q, 2), "doc_id") == [(0,), (2,)]
+
+
+def test_mini_collection_in_shards(spark, lorem, tmp_path):
+    shards = spark.createDataFrame(list(enumerate([0, 1, 2, 2, 1, 0, 1, 1, 2, 0])), "doc_id long, shard_id int")
+    collection.write_cluster(lorem, shards, str(tmp_path / "c"))
+    c = collection.open_cluster(spark, str(tmp_path / "c"), scores=("bm25-8",))
+    assert [r.size for r in c["documents"].orderBy("shard_id", "local_doc_id").collect()] == [8, 10, 7, 10, 7, 10, 7, 9, 9, 11]
+    assert rows(collection.reverse_map(c["documents"]).where("shard_id = 1"), "local_doc_id", "doc_id") == [(0, 1), (1, 4), (2, 6), (3, 7)]
+    assert rows(c["scores/bm25-8"], "term", "doc_id", "q") == rows(lorem.scores["bm25-8"], "term", "doc_id", "q")
+    only = collection.open_cluster(spark, str(tmp_path / "c"), [2], ("bm25-8",))["scores/bm25-8"]
+    assert {r.doc_id for r in only.collect()} == {2, 3, 8}
+
+
+def test_only_buckets_of_the_terms_are_read(spark, lorem):
+    q = spark.createDataFrame([(0, 0, "ipsum")], "qid long, pos int, term string")
+    for df in (lorem.hits(q), lorem.scored_hits("bm25", q), lorem.hits(q, lorem.scores["bm25-8"])):
+        plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        assert any("bucket" in x for x in plan.split("\n") if x.startswith("PartitionFilters"))
+
+
+def test_bag_union(spark):
+    lists = [[0, 1, 4], [0, 2, 4], [1, 2, 4]]
+    df = spark.createDataFrame([(k, d) for k, x in enumerate(lists) for d in x], "term int, doc_id int")
+    assert [r.doc_id for r in df.orderBy("doc_id").collect()] == [0, 0, 1, 1, 2, 2, 4, 4, 4]
+
+
+def test_next_posting(spark):
+    docs = [(i, f"d{i}", ["x"] if i in (0, 1, 4, 6, 9, 11, 30) else []) for i in range(31)]
+    ix = ix_.build_index(spark.createDataFrame(docs, "doc_id long, title string, terms array<string>"))
+    t = spark.createDataFrame([("x",)], "term string")
+    got = {low: [r.doc_id for r in ix_.next_posting(ix, t, low).collect()] for low in (1, 2, 3, 4, 5, 7, 15, 30, 31)}
+    assert got == {1: [1], 2: [4], 3: [4], 4: [4], 5: [6], 7: [9], 15: [30], 30: [30], 31: []}
+
+
+def test_sinks_and_columns(spark, tmp_path):
+    res = spark.createDataFrame([(3, 1, 0, 7, "Doc07", 1.5)], "qid long, shard_id int, rank long, doc_id long, title string, score double")
+    assert text.plain_lines(res).first().line == "Doc07\t1.500000"
+    assert text.csv_lines(res).first().line == "3,1,0,7,1.500000" and text.CSV_HEADER.count(",") == 4
+    (tmp_path / "t.tsv").write_text("a\tb\n1\tx \"y\n2\t\n")
+    assert rows(text.read_columns(spark, str(tmp_path / "t.tsv")), "a") == [("1",), ("2",)]
+    assert text.read_columns(spark, str(tmp_path / "t.tsv"), header=False).columns == ["c0", "c1"]
+    lines = spark.createDataFrame([(i, f"l{i}") for i in range(5)], "n long, value string")
+    text.write_parts(lines, 2, ["n"], str(tmp_path / "parts"), header="head")
+    got = {p.name: [x for f in sorted(p.glob("part-*.txt")) for x in f.read_text().split()] for p in (tmp_path / "parts").glob("part=*")}
+    assert got == {"part=part-0000": ["head", "l0", "l1"], "part=part-0001": ["head", "l2", "l3"], "part=part-0002": ["head", "l4"]}
+    assert rows(text.symbol_frequencies(F.col("value"), lines.where("n < 2")), "symbol", "n") == [(48, 1), (49, 1), (108, 2)]
+
+
+def test_taily_against_a_known_distribution(spark):
+    """Scores of one term drawn from a gamma distribution: the estimate is its quantile, and about k documents pass it."""
+    import numpy as np
+
+    x = np.random.default_rng(1).gamma(3.0, 2.0, 20_000)
+    stats = spark.createDataFrame([("t", float(len(x)), float(x.mean()), float(x.var()))], "term string, df double, mean double, var double")
+    q = spark.createDataFrame([(0, 0, "t")], "qid long, pos int, term string")
+    for k in (100, 1000):
+        estimate = retrieval.taily_threshold(q, stats, len(x), k).first().estimate
+        assert estimate == pytest.approx(2.0 * retrieval.gamma_quantile(3.0, 1 - k / len(x)), rel=0.05)
+        assert (x >= estimate).sum() == pytest.approx(k, rel=0.2)
+
+
+def test_early_termination_in_blocks(spark):
+    """The same prefixes whatever the blocks, and those of plain search."""
+    r = random.Random(8)
+    scores = [(q, d, round(r.random(), 3)) for q in range(5) for d in range(60) if r.random() < 0.6]
+    rel = {d: int(r.random() < 0.4) for d in range(60)}
+    want = []
+    for q in range(5):
+        mine = sorted((-s, d) for k, d, s in scores if k == q)
+        p = {e: sum(rel[d] for _, d in [x for x in mine if x[1] < e][:3]) for e in range(5, 61, 5) if any(d < e for _, d in mine)}
+        want.append((q, min(e for e in p if p[e] >= p[60])))
+    df, order = spark.createDataFrame(scores, "qid long, doc_id long, score double"), spark.createDataFrame([(d, d) for d in range(60)], "doc_id long, rank long")
+    qrels = spark.createDataFrame(list(rel.items()), "doc_id long, relevance int")
+    for span in (1, 3, 100, None):
+        assert rows(evaluation.early_termination(df, order, qrels, 3, 5, span=span), "qid", "documents") == want
+
+
 def test_precision_and_hits(spark):
     results = spark.createDataFrame([(0, 0, 5), (0, 1, 6), (1, 0, 5)], "qid long, rank long, doc_id long")
     qrels = spark.createDataFrame([(5, 1), (6, 0)], "doc_id long, relevance int")
