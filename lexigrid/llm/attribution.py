@@ -8,7 +8,8 @@ puts together). A token that crosses a boundary goes to one section by the rule:
 A token without characters (a later part of one character) goes where the character's first token goes.
 
 Nulls: a null text is empty and has no section, so no row; null or repeated doc_ids are rows like any
-other; an empty table gives no rows. Other columns are not read.
+other; an empty table gives no rows. Long texts are encoded whole, in time linear in them. Ties: a token that
+two sections share alike goes to the first. Other columns are not read.
 """
 
 from __future__ import annotations

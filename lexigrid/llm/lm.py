@@ -477,8 +477,8 @@ def most_frequent(counts: DataFrame, most: int) -> list:
     return sorted(counts.where(step >= least).collect(), key=lambda r: (-r.c, bytes(r.token)))
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs(doc_id, text)."""
+def score(docs: DataFrame, fit: bool = True) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs(doc_id, text); without fit no model is trained and score is left out."""
     spark = docs.sparkSession
     docs = _docs(docs)
     train = docs.where(~F.col("held_out"))
@@ -486,27 +486,30 @@ def score(docs: DataFrame) -> DataFrame:
     n_types, n_tokens = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     head = most_frequent(counts, HEAD)
     v = Vocabulary([bytes(r.token) for r in head], [r.c for r in head], int(n_tokens), int(n_types), tail_units(counts, head, int(n_types)))
-    model = Model(v)
-    warm = [(r.text or "").encode() for r in train.orderBy("key", "doc_id").limit(WARM).select("text").collect()]
-    if warm:
-        train_on(model, v, [v.tokens(warm)], 0)
-    model.load(averaged(train, v, model.parameters(), int(n_tokens)))
-    sent = spark.sparkContext.broadcast((v, model.parameters()))
+    parameters = None
+    if fit:
+        model = Model(v)
+        warm = [(r.text or "").encode() for r in train.orderBy("key", "doc_id").limit(WARM).select("text").collect()]
+        if warm:
+            train_on(model, v, [v.tokens(warm)], 0)
+        parameters = averaged(train, v, model.parameters(), int(n_tokens))
+    sent = spark.sparkContext.broadcast((v, parameters))
     tail_t = pa.struct([("token", pa.binary()), ("tf", pa.int64())])
     schema = pa.schema([("pid", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(tail_t))])
 
     def run(batches):
         v, flat = sent.value
-        m, pid, row = Model(v, flat=flat), TaskContext.get().partitionId(), 0
+        m, pid, row = None if flat is None else Model(v, flat=flat), TaskContext.get().partitionId(), 0
         logs, miss = np.log10(v.count + 1.0), len(v.count) - 1
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 s = b.slice(lo, 1000)
                 ids, at, words = v.tokens(common.raw_texts(s.column("text")))
-                unit = v.units(ids, at, words)
-                p = m.log10(v.contexts(ids, at, words, unit), v.place.take(unit))
-                log_c = logs.take(ids)
-                p -= v.share_log.take(unit)  # a tail word's count, the other part of its share, comes by the join below
+                log_c, p = logs.take(ids), np.zeros(len(ids))
+                if m is not None:
+                    unit = v.units(ids, at, words)
+                    p = m.log10(v.contexts(ids, at, words, unit), v.place.take(unit))
+                    p -= v.share_log.take(unit)  # a tail word's count, the other part of its share, comes by the join below
                 first = at[:-1]
                 n = np.diff(at)
                 known = np.add.reduceat((v.count[ids] > 0).astype(np.int64), first)
@@ -526,9 +529,10 @@ def score(docs: DataFrame) -> DataFrame:
     tail = scored.where(F.size("tail") > 0).select("pid", "row", F.explode("tail").alias("x")).select("pid", "row", "x.token", "x.tf")
     found = tail.join(counts, "token").groupBy("pid", "row").agg(F.sum("tf").alias("known"), F.sum(F.col("tf") * F.log10(F.col("c") + F.lit(1.0))).alias("logs"))
     logs = F.coalesce("logs", F.lit(0.0))
-    return scored.drop("tail").join(found, ["pid", "row"], "left").select(
+    out = scored.drop("tail").join(found, ["pid", "row"], "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(int(n_tokens)).cast("long").alias("train_tokens"), (F.col("base") + logs).alias("base_score"), (F.col("score") + logs).alias("score")
     )
+    return out if fit else out.drop("score")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
