@@ -5,18 +5,19 @@ tokens gives compact windows (l, c, r): every passage within [l, r] that holds c
 Windows of at least `MIN_WORDS` words are kept; they are the tree's nodes that are the minimum of some
 passage of that length, so about 2 / (MIN_WORDS - SHINGLE + 2) of a text. Windows of different documents
 that have the same minimum (the signature) are grouped for each of `HASHES` functions. In a group, windows of
-one context are one, the smallest document's, and each further one is verified word by word against all
-distinct contexts before it, outward from the shared token, through single changed words, to the ends of both
-windows' contexts. Only a group of over `KEPT` distinct contexts is not compared in all its pairs: what comes
-after the first meets them, and then all members meet again under keys of the token with half the missing
-words on one side, and where those still have too many contexts, under each whole passage of MIN_WORDS words
-around the token. So all documents that share such a passage are linked, and a further document takes no
-link away between two others but where it makes a group's contexts more than that.
+one context are one, linked to the smallest document's, and all distinct contexts are compared word by word in
+pairs, outward from the shared token, through single changed words, to the ends of both windows' contexts. In a
+group of over `KEPT` distinct contexts only pairs that can agree over MIN_WORDS words are compared: of any
+AGREE + 1 words that a link runs over at most one is changed, so one half of them agrees, and pairs that agree in
+no half of some such run, for each way in which MIN_WORDS words can lie around the token, are left out. That
+loses no pair. Groups of over `BLOCK` windows are first reduced to their distinct contexts; where these are over
+`BLOCK` as well they are dealt to parts, and each two parts meet in a task. So a further document takes no link
+away between two others.
 
 Links are joined by their intervals: overlapping passages of a document become one, and a passage of two
 documents is reported once per document. Result: doc_id, start_word, end_word (exclusive), class_id (the
-smallest doc_id that can be reached through shared passages), n_links (signature groups' links that
-verified it). Documents without a repeated passage have no row.
+smallest doc_id that can be reached through shared passages), n_links (signature groups' links of different
+contexts, and of copies to their context's first, that verified it). Documents without a repeated passage have no row.
 
 Nulls: a null text is empty; rows with a null doc_id aren't compared; repeated doc_ids with different
 texts are one document, of which repeats within don't count; an empty table gives no rows. Long texts are cut
@@ -37,8 +38,12 @@ from . import common
 MIN_WORDS, SHINGLE, HASHES, REACH = 50, 6, 2, 48
 #: Words that must agree after a changed word for it to be passed over.
 AGREE = 5
-#: Windows of a key that one task compares, and distinct contexts of a key that are compared pair by pair.
+#: Windows of a key that one task compares, and distinct contexts of a key of which all pairs are compared outright.
 BLOCK, KEPT = 20_000, 32
+#: Ways in which a link's missing words may lie before and after the token that are looked up one by one.
+CASES = 11
+#: Words on either side of a token that one number has marks for, and pairs that are compared at once.
+SIDE, PAIRS = 64, 1 << 18
 #: Words of all documents of a batch whose windows are found at once.
 BATCH_WORDS = 1_000_000
 
@@ -230,174 +235,400 @@ def extent(a: np.ndarray, b: np.ndarray, ca: int, cb: int, shingle: int) -> tupl
     return grow(a[:ca][::-1], b[:cb][::-1]), grow(a[ca:], b[cb:])
 
 
+def _marks(bad: np.ndarray) -> np.ndarray:
+    """Marks of words that differ, SIDE in a row, as bits of one number each, the nearest word's the lowest."""
+    return np.packbits(bad, axis=-1, bitorder="little").view("<u8")[..., 0]
+
+
+def _stop(marks: np.ndarray) -> np.ndarray:
+    """extent()'s rule: the first word that differs and has another such among the AGREE after it. All words from an end on must be marked, and an end lies before SIDE - 1."""
+    near = marks >> np.uint64(1)
+    for k in range(2, AGREE + 1):
+        near |= marks >> np.uint64(k)
+    near &= marks
+    return np.bitwise_count((near & (~near + np.uint64(1))) - np.uint64(1)).astype(np.int32)
+
+
 class Group:
-    """The distinct contexts of a signature, up to `KEPT`, and the links of each further window to all of them."""
+    """Contexts around one token, and the extents of a further window against each."""
 
     def __init__(self, reach: int, shingle: int):
         self.reach, self.width = reach, 2 * reach + shingle
-        self.places: dict[tuple[bytes, int], int] = {}
         self.rows: list[tuple[int, int, int, bytes]] = []  # doc_id, c, lead, words
         self.table = np.full((KEPT, self.width), -1, dtype=np.int32)  # words around c, nothing where the context ends
-        self.over = False
 
     def extents(self, words: bytes, lead: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each kept context: words that agree before and from the shared token on, by the rule of extent()."""
+        """For each context: words that agree before and from the shared token on, by the rule of extent()."""
         row = np.full(self.width, -2, dtype=np.int32)
         row[self.reach - lead : self.reach - lead + len(words) // 2] = np.frombuffer(words, "<u2")
-        bad = self.table[: len(self.rows)] != row
-        return _grow(bad[:, : self.reach][:, ::-1]), _grow(bad[:, self.reach :])
-
-
-def _grow(bad: np.ndarray) -> np.ndarray:
-    """extent()'s rule along each row of marks of words that differ."""
-    n, width = bad.shape
-    at = np.full((n, width + 2), width + 1)
-    at[:, width] = width
-    at[:, :width] = np.where(bad, np.arange(width), width + 1)
-    nearest = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1]  # the next word that differs, from each on
-    rows = np.arange(n)
-    good = nearest[:, 0]
-    while True:
-        further = nearest[rows, np.minimum(good + 1, width + 1)]
-        go = (good < width) & (further <= width) & (further - good > AGREE)
-        if not go.any():
-            return good
-        good = np.where(go, further, good)
+        bad = np.ones((2, len(self.rows), SIDE), dtype=bool)
+        differs = self.table[: len(self.rows)] != row
+        bad[0, :, : self.reach] = differs[:, : self.reach][:, ::-1]
+        bad[1, :, : self.width - self.reach] = differs[:, self.reach :]
+        before, after = _stop(_marks(bad))
+        return before, after
 
 
-def _verified(groups: DataFrame, min_words: int, shingle: int, reach: int) -> tuple[DataFrame, DataFrame]:
-    """Of groups(key, doc_id, c, lead, words): the links between all windows of a key, and the windows of keys with over `KEPT` distinct contexts, which go on.
+class Contexts:
+    """Distinct contexts of many keys, those of a key together, and the pairs of a key that agree over min_words words.
 
-    Windows are sorted by key, and one pass compares each with all contexts kept for its key. A key with more
-    than `BLOCK` windows is dealt to parts, and what the parts kept is compared in a second pass.
+    group: sizes of the keys' runs. mine: where given, a key's pairs are of one context that is mine and one that isn't.
     """
-    hot = groups.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
-    dealt = groups.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    once = common.written(_compared(dealt, min_words, shingle, reach), "verified")
-    heads = once.where("kind = 2").select("key", "doc_id", "c", "lead", "words", F.lit(1).alias("parts"))
-    twice = common.written(_compared(heads, min_words, shingle, reach), "verified")
-    links = [x.where("kind = 0").select("doc_id", "other", "s", "e", "os", "oe") for x in (once, twice)]
-    # what parts kept goes on as well: another part's windows that went on haven't met it
-    rest = [x.where("kind > 0").select("key", "doc_id", "c", "lead", "words") for x in (once, twice)]
-    return links[0].unionByName(links[1]), rest[0].unionByName(rest[1]).dropDuplicates(["key", "doc_id", "c"])
-
-
-def _compared(dealt: DataFrame, min_words: int, shingle: int, reach: int) -> DataFrame:
-    """kind 0: a link; 1: a window that goes on to finer keys; 2: a context that a part of a key kept."""
-    schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("doc_id", pa.int64()), ("other", pa.int64()), *((n, pa.int32()) for n in ("s", "e", "os", "oe", "c", "lead")), ("words", pa.binary())])
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    rows = dealt.select("key", part.alias("part"), "parts", "doc_id", "c", "lead", "words").repartition("key", "part").sortWithinPartitions("key", "part", "doc_id", "c")
-    none = [None] * 5
-
-    def run(batches):
-        group, g, out, many = None, Group(reach, shingle), [], 1
 
-        def close():
-            if group is not None and (g.over or many > 1):
-                kind = 1 if g.over else 2
-                out.extend((kind, group[0], d, *none, c, lead, w) for d, c, lead, w in g.rows)
+    def __init__(self, words: pa.Array, lead: np.ndarray, group: np.ndarray, min_words: int, shingle: int, mine: np.ndarray | None = None):
+        self.min_words, self.shingle, self.group, self.mine = min_words, shingle, group, mine
+        at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] // 2
+        flat = np.frombuffer(words.buffers()[2], np.uint8)
+        flat = flat[: len(flat) // 2 * 2].view("<u2")
+        steps = np.concatenate((-1 - np.arange(SIDE), np.arange(SIDE)))
+        #: words from the token outward, first those before it, then those from it on; beyond an end anything
+        self.words = flat.take(np.clip((at[:-1] + lead)[:, None] + steps, 0, len(flat) - 1))
+        self.ends = np.stack((lead, np.diff(at) - lead))
+
+    def extents(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Marks of words that differ (before, after) and how far i and j agree."""
+        bad = self.words.take(i, axis=0) != self.words.take(j, axis=0)
+        marks = _marks(bad.reshape(len(i), 2, SIDE)).T
+        marks = marks | ~np.uint64(0) << np.minimum(self.ends[:, i], self.ends[:, j]).astype(np.uint64)
+        return marks, _stop(marks)
+
+    def links(self, kept: int):
+        """Batches of (i, j, words before the token, words from it on)."""
+        first = np.cumsum(self.group) - self.group
+        for i, j in _pairs(*_runs(first, self.group, self.group <= kept)):
+            marks, (before, after) = self.extents(i, j)
+            yield self._those(i, j, before, after, before + after >= self.min_words)
+        rows, sizes = _runs(first, self.group, self.group > kept)
+        if len(rows):
+            for case in range(CASES + 1):
+                yield from self._case(rows, sizes, case, kept)
+
+    def _those(self, i, j, before, after, ok):
+        if self.mine is not None:
+            ok &= self.mine[i] != self.mine[j]
+        ok = np.flatnonzero(ok)
+        return i[ok], j[ok], before[ok], after[ok]
+
+    def _case(self, rows: np.ndarray, sizes: np.ndarray, case: int, kept: int):
+        """Links that have from case / CASES of the missing words on before the token, and fewer than the next case."""
+        need = self.min_words - self.shingle
+        least, beyond = need * case // CASES, need * (case + 1) // CASES if case < CASES else 1 << 30
+        after = max(0, need - beyond + 1)
+        # runs of AGREE + 1 words that such a link must run over, farthest from the token first: (side, first, middle, end)
+        runs = [(0, a, min(a + AGREE + 1, least)) for a in range(0, least, AGREE + 1)]
+        runs += [(1, a, min(a + AGREE + 1, self.shingle + after)) for a in range(self.shingle, self.shingle + after, AGREE + 1)]
+        runs = [(side, a, (a + z) // 2, z) for side, a, z in sorted(runs, key=lambda x: -x[1]) if z - a > 1]
+        enough = (self.ends[0, rows] >= least) & (self.ends[1, rows] >= self.shingle + after)
+        group = np.repeat(np.arange(len(sizes)), sizes)[enough]
+        rows = rows[enough]
+        choice = np.zeros(len(rows), dtype=np.int64)  # bit d: in run d the second half agrees and the first doesn't
+        for depth in range(len(runs) + 1):
+            # rows come by group; small groups, and all after the last run, are compared
+            first, sizes = _starts(group)
+            small = sizes <= kept if depth < len(runs) else sizes > 0
+            at, n = _runs(first, sizes, small & (sizes > 1))
+            for p, q in _pairs(at, n):
+                i, j, chosen = rows[p], rows[q], choice[p]
+                marks, (b, a) = self.extents(i, j)
+                ok = (b >= least) & (b < beyond) & (b + a >= self.min_words)
+                for d, (side, lo, mid, _) in enumerate(runs[:depth]):
+                    ok &= (chosen >> d & 1 == 0) | (marks[side] & np.uint64((1 << mid) - (1 << lo)) != 0)
+                yield self._those(i, j, b, a, ok)
+            at, n = _runs(first, sizes, ~small)
+            if not len(at):
+                return
+            side, lo, mid, hi = runs[depth]
+            parts, r, g = [], rows[at], group[at]
+            values = []
+            for x, y in ((lo, mid), (mid, hi)):
+                values.append(np.zeros(len(r), dtype=np.uint64))
+                for k in range(x, y):
+                    values[-1] = values[-1] << np.uint64(16) | self.words[r, SIDE * side + k]
+            for half, value in enumerate(values):
+                order = np.lexsort((value, g))
+                new = np.ones(len(r), dtype=bool)
+                new[1:] = (g[order][1:] != g[order][:-1]) | (value[order][1:] != value[order][:-1])
+                a, n = _starts(np.cumsum(new))
+                go = n > 1
+                if half:  # where all agree in the first half as well, that has them
+                    other = values[0][order]
+                    go &= np.minimum.reduceat(other, a) != np.maximum.reduceat(other, a)
+                p, n = _runs(a, n, go)
+                order = order[p]
+                parts.append((r[order], 2 * np.repeat(np.arange(len(n)), n) + half, choice[at][order] | half << depth))
+            rows, group, choice = (np.concatenate(x) for x in zip(*parts))
+
+
+def _starts(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and sizes of the runs of equal values."""
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, dtype=np.int64)
+    return first, np.diff(np.append(first, len(group)))
+
+
+def _runs(first: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in the runs asked for, and these runs' sizes."""
+    first, sizes = first[which], sizes[which]
+    return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum())), sizes
+
+
+def _pairs(rows: np.ndarray, sizes: np.ndarray):
+    """All pairs within runs of rows, in batches of about PAIRS."""
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(rows)) - 1  # rows after each in its run
+    total = np.cumsum(left)
+    lo = 0
+    while lo < len(rows):
+        done = int(total[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(total, done + PAIRS, side="right")))
+        n = left[lo:hi]
+        p = np.repeat(np.arange(lo, hi), n)
+        if len(p):
+            yield rows[p], rows[p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)]
+        lo = hi
+
+
+class _Found:
+    """What links come to: of each place its number of links, and of the documents a forest that joins those linked."""
+
+    SCHEMA = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("doc_id", pa.int64()), ("other", pa.int64()), ("s", pa.int32()), ("e", pa.int32()), ("n", pa.int64()), ("lead", pa.int32()), ("words", pa.binary())])
+    KINDS = "kind byte, key long, doc_id long, other long, s int, e int, n long, lead int, words binary"
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, *link: np.ndarray) -> None:
+        """doc_id, other, s, e, os, oe of links."""
+        if len(link[0]):
+            self.parts.append(link)
+            self.size += len(link[0])
+            if self.size > 4 * PAIRS:
+                self._reduce()
+
+    def _reduce(self) -> None:
+        full = [x if len(x) == 7 else (*x, np.ones(len(x[0]), np.int64)) for x in self.parts if len(x) != 5]
+        d, o, s, e, os, oe, n = (np.concatenate(x) for x in zip(*full))
+        places = [(np.concatenate((d, o)), np.concatenate((s, os)).astype(np.int64) << 32 | np.concatenate((e, oe)).astype(np.int64), np.concatenate((n, n)))] if len(d) else []
+        old = [x for x in self.parts if len(x) == 5]
+        places += [x[:3] for x in old]
+        doc, place, n = (np.concatenate(x) for x in zip(*places))
+        order = np.lexsort((place, doc))
+        doc, place = doc[order], place[order]
+        first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1]))))
+        u, v = _forest(np.concatenate((d, *(x[3] for x in old))), np.concatenate((o, *(x[4] for x in old))))
+        self.parts = [(doc[first], place[first], np.add.reduceat(n[order], first), u, v)]
+        self.size = 0
+
+    def rows(self):
+        """Record batches, kind 0: doc_id, s, e, n of a place; 1: doc_id and other of an edge."""
+        if not self.parts:
+            return
+        if len(self.parts) > 1 or len(self.parts[0]) != 5:
+            self._reduce()
+        doc, place, n, u, v = self.parts.pop()
+        yield _rows(0, len(doc), doc_id=doc, s=(place >> 32).astype(np.int32), e=(place & 0xFFFFFFFF).astype(np.int32), n=n)
+        yield _rows(1, len(u), doc_id=u, other=v)
+
+
+def _rows(kind: int, size: int, /, **columns) -> pa.RecordBatch:
+    return common.batch_of(_Found.SCHEMA, [np.full(size, kind, np.int8), *(columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in _Found.SCHEMA if f.name != "kind")])
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node to the least that it is joined to."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    low = np.arange(len(nodes))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, low[a], low[b])
+        np.minimum.at(new, low[b], low[a])
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    inner = np.flatnonzero(low != np.arange(len(low)))
+    return nodes[inner], nodes[low[inner]]
+
+
+def _compared(ctx: DataFrame, min_words: int, shingle: int) -> DataFrame:
+    """Of ctx(key, doc_id, c, lead, words): rows of _Found, and with kind 2 the distinct contexts of each BLOCK windows of keys with more (doc_id and s, other and e: the first and last document's place)."""
+    block, kept = BLOCK, KEPT
+    rows = ctx.select("key", "doc_id", "c", "lead", "words").repartition("key").sortWithinPartitions("key", "doc_id", "c")
 
+    def run(batches):
+        held, hot = [], None
+
+        def settled(t: pa.RecordBatch, whole: bool):
+            """What of t is done with, and how many rows; unless whole, the last key goes on."""
+            nonlocal hot
+            key = t.column("key").to_numpy()
+            first, sizes = _starts(key)
+            many = (sizes > block) | (key[first] == hot if hot is not None else False)
+            ends = len(first) if whole else len(first) - 1
+            found = _Found()
+            cold, _ = _runs(first[:ends], sizes[:ends], ~many[:ends])
+            if len(cold):
+                _cold(t if len(cold) == t.num_rows else t.take(pa.array(cold)), found)
+            out, done = [], int(first[ends]) if ends < len(first) else t.num_rows
+            for k in np.flatnonzero(many).tolist():
+                a, z = int(first[k]), int(first[k] + sizes[k])
+                while a < z and (k < ends or z - a > block):
+                    out.append(_heads(t.slice(a, min(block, z - a)), found))
+                    a = min(a + block, z)
+                if k == ends:
+                    done = a
+                    hot = int(key[a - 1])
+            out.extend(found.rows())
+            return out, done
+
+        def distinct(t, found):
+            """The rows in the order of their keys and contexts, and where a context begins; links of the others to these."""
+            key, doc, c, lead = (t.column(k).to_numpy() for k in ("key", "doc_id", "c", "lead"))
+            words = t.column("words").to_pylist()
+            mark = np.fromiter(map(xxhash.xxh3_64_intdigest, words, lead.tolist()), np.uint64, len(words))
+            order = np.lexsort((c, doc, mark, key))
+            k, m = key[order], mark[order]
+            first, sizes = _starts((np.concatenate(([0], np.cumsum((k[1:] != k[:-1]) | (m[1:] != m[:-1]))))))
+            r, f = order, np.repeat(order[first], sizes)
+            width = np.fromiter(map(len, words), np.int32, len(words)) // 2
+            linked = np.flatnonzero((doc[r] != doc[f]) & (width[r] >= min_words))
+            r, f = r[linked], f[linked]
+            s, o = c[r] - lead[r], c[f] - lead[f]
+            found.add(doc[r], doc[f], s, s + width[r], o, o + width[f])
+            return key, doc, c, lead, order[first], order[first + sizes - 1]
+
+        def _cold(t, found):
+            key, doc, c, lead, head, last = distinct(t, found)
+            first, sizes = _starts(key[head])
+            at, sizes = _runs(first, sizes, sizes > 1)
+            if len(at):
+                head, last = head[at], last[at]
+                _linked(Contexts(t.column("words").take(pa.array(head)), lead[head], sizes, min_words, shingle), kept, doc[head], c[head], doc[last], c[last], found)
+
+        def _heads(t, found):
+            key, doc, c, lead, head, last = distinct(t, found)
+            return _rows(2, len(head), key=key[head], doc_id=doc[head], other=doc[last], s=c[head], e=c[last], lead=lead[head], words=t.column("words").take(pa.array(head)))
+
+        n = 0
         for b in batches:
-            for key, p, parts, d, c, lead, w in zip(*(b.column(k).to_pylist() for k in ("key", "part", "parts", "doc_id", "c", "lead", "words"))):
-                if (key, p) != group:
-                    close()
-                    group, many = (key, p), parts
-                    g.places.clear()
-                    g.rows.clear()
-                    g.over = False
-                same = g.places.get((w, lead))
-                if same is not None:
-                    e, o = len(w) // 2 - lead, g.rows[same]
-                    if o[0] != d and len(w) // 2 >= min_words:
-                        out.append((0, key, d, o[0], c - lead, c + e, o[1] - lead, o[1] + e, None, None, None))
-                    continue
-                if g.rows:
-                    before, after = g.extents(w, lead)
-                    for i in np.flatnonzero(before + after >= min_words).tolist():
-                        o = g.rows[i]
-                        if o[0] != d:
-                            x, z = int(before[i]), int(after[i])
-                            out.append((0, key, d, o[0], c - x, c + z, o[1] - x, o[1] + z, None, None, None))
-                if len(g.rows) < KEPT:
-                    k = len(g.rows)
-                    g.table[k] = -1
-                    g.table[k, reach - lead : reach - lead + len(w) // 2] = np.frombuffer(w, "<u2")
-                    g.places[w, lead] = k
-                    g.rows.append((d, c, lead, w))
-                else:
-                    g.over = True
-                    out.append((1, key, d, *none, c, lead, w))
-            if out:
-                yield common.batch_of(schema, list(zip(*out)))
-                out.clear()
-        close()
-        if out:
-            yield common.batch_of(schema, list(zip(*out)))
-
-    return common.map_arrow(rows, run, "kind byte, key long, doc_id long, other long, s int, e int, os int, oe int, c int, lead int, words binary")
-
-
-def _sides(groups: DataFrame, min_words: int, shingle: int) -> DataFrame:
-    """Windows under keys of the shared token with half the missing words on one side: who share min_words share one such key."""
-    half = -(-(min_words - shingle) // 2)
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("c", pa.int32()), ("lead", pa.int32()), ("words", pa.binary())])
+            held.append(b)
+            n += b.num_rows
+            if n > 20_000:
+                t = _joined(held)
+                out, done = settled(t, False)
+                yield from out
+                held, n = [t.slice(done)] if done < t.num_rows else [], t.num_rows - done
+        if n:
+            yield from settled(_joined(held), True)[0]
+
+    return common.map_arrow(rows, run, _Found.KINDS)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def _linked(x: Contexts, kept: int, doc: np.ndarray, c: np.ndarray, last: np.ndarray, last_c: np.ndarray, found: _Found) -> None:
+    """The links of contexts whose first and last documents are given: between their first ones, or, where that is one document, with another's last."""
+    for i, j, before, after in x.links(kept):
+        d, o, p, q = doc[i], doc[j], c[i], c[j]
+        same = d == o
+        if same.any():
+            theirs = same & (last[j] != d)
+            ours = same & ~theirs
+            d, p, o, q = np.where(ours, last[i], d), np.where(ours, last_c[i], p), np.where(theirs, last[j], o), np.where(theirs, last_c[j], q)
+            ok = d != o
+            d, o, p, q, before, after = d[ok], o[ok], p[ok], q[ok], before[ok], after[ok]
+        found.add(d, o, p - before, p + after, q - before, q + after)
+
+
+def _heads_compared(heads: DataFrame, min_words: int, shingle: int) -> DataFrame:
+    """Rows of _Found of the kind 2 rows of _compared(): a key's distinct contexts in one task, or dealt to parts, each two of which meet in a task."""
+    block, kept = BLOCK, KEPT
+    every = heads.select("key", "lead", "words", F.struct("doc_id", F.col("s").alias("c")).alias("f"), F.struct(F.col("other").alias("doc_id"), F.col("e").alias("c")).alias("z"))
+    one = common.written(every.groupBy("key", "lead", "words").agg(F.min("f").alias("f"), F.max("z").alias("z")), "heads")
+    # of one context in several blocks, the others' first ones are linked to the first
+    long = every.where(F.length("words") >= 2 * min_words).select("key", "lead", "words", F.col("f").alias("g"))
+    again = long.join(one, ["key", "lead", "words"]).where("g.doc_id <> f.doc_id")
+    size = (F.length("words") / 2).cast("int")
+    ends = [again.select(F.lit(0).cast("byte").alias("kind"), F.col(f"{x}.doc_id").alias("doc_id"), F.lit(None).cast("long").alias("other"), (F.col(f"{x}.c") - F.col("lead")).alias("s"), (F.col(f"{x}.c") - F.col("lead") + size).alias("e"), F.lit(1).cast("long").alias("n")) for x in "gf"]
+    edges = again.select(F.lit(1).cast("byte").alias("kind"), F.col("g.doc_id").alias("doc_id"), F.col("f.doc_id").alias("other"), F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("e"), F.lit(None).cast("long").alias("n")).distinct()
+    parts = one.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("lead", "words"), F.col("parts")).cast("int")
+    dealt = one.join(parts, "key").withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("part", "with"), F.greatest("part", "with")
+    rows = dealt.select(F.xxhash64("key", low, high).alias("key"), "lead", "words", F.col("f.doc_id").alias("doc_id"), F.col("f.c").alias("c"), F.col("z.doc_id").alias("other"), F.col("z.c").alias("oc"), (low == high).alias("within"), (F.col("part") == low).alias("mine"))
+    rows = rows.repartition("key").sortWithinPartitions("key", "doc_id", "c")
+
+    def settled(t: pa.RecordBatch):
+        key, lead, doc, c, other, oc = (t.column(k).to_numpy() for k in ("key", "lead", "doc_id", "c", "other", "oc"))
+        within, mine = (t.column(k).to_numpy(zero_copy_only=False) for k in ("within", "mine"))
+        first, sizes = _starts(key)
+        found = _Found()
+        for whole in (True, False):
+            at, n = _runs(first, sizes, (sizes > 1) & (within[first] == whole))
+            if len(at):
+                x = Contexts(t.column("words").take(pa.array(at)), lead[at], n, min_words, shingle, None if whole else mine[at])
+                _linked(x, kept, doc[at], c[at], other[at], oc[at], found)
+        return found.rows()
 
     def run(batches):
+        held, n = [], 0
         for b in batches:
-            rows = []
-            for key, d, c, lead, w in zip(*(b.column(k).to_pylist() for k in ("key", "doc_id", "c", "lead", "words"))):
-                if lead >= half:
-                    rows.append((_key(key, 1, w[2 * (lead - half) : 2 * (lead + shingle)]), d, c, lead, w))
-                if len(w) // 2 - lead - shingle >= half:
-                    rows.append((_key(key, 2, w[2 * lead : 2 * (lead + shingle + half)]), d, c, lead, w))
-            if rows:
-                yield common.batch_of(schema, list(zip(*rows)))
-
-    return common.written(common.map_arrow(groups, run, "key long, doc_id long, c int, lead int, words binary"), "sides")
-
+            held.append(b)
+            n += b.num_rows
+            if n > 20_000:
+                t = _joined(held)
+                key = t.column("key").to_numpy()
+                done = int(np.searchsorted(key, key[-1]))
+                if done:
+                    yield from settled(t.slice(0, done))
+                held, n = [t.slice(done)], t.num_rows - done
+        if n:
+            yield from settled(_joined(held))
 
-def _key(parent: int, kind: int, words: bytes) -> int:
-    return xxhash.xxh64_intdigest(words, (parent ^ kind) & (2**64 - 1)) - (1 << 63)
+    columns = ("kind", "doc_id", "other", "s", "e", "n")
+    return common.map_arrow(rows, run, _Found.KINDS).select(*columns).unionByName(ends[0]).unionByName(ends[1]).unionByName(edges)
 
 
-def _passages(groups: DataFrame, min_words: int, shingle: int) -> DataFrame:
-    """Links between windows that share one whole passage of min_words with the token in it."""
-    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("s", pa.int32())])
+def _repeated(every: DataFrame) -> DataFrame:
+    """The windows of keys that several documents have."""
 
     def run(batches):
+        # rows come by key; those of the last key wait until another document has it
+        wait, seen = None, None
         for b in batches:
-            keys, docs, starts = [], [], []
-            for d, c, lead, w in zip(*(b.column(k).to_pylist() for k in ("doc_id", "c", "lead", "words"))):
-                for a in range(max(0, min_words - (len(w) // 2 - lead)), min(lead, min_words - shingle) + 1):
-                    keys.append(_key(0, 3, w[2 * (lead - a) : 2 * (lead - a + min_words)]))
-                    docs.append(d)
-                    starts.append(c - a)
-            if keys:
-                yield common.batch_of(schema, [keys, docs, starts])
-
-    rows = common.written(common.map_arrow(groups.dropDuplicates(["doc_id", "c"]), run, "key long, doc_id long, s int"), "exact")
-    first = rows.groupBy("key").agg(F.min(F.struct("doc_id", "s")).alias("f"), F.max("doc_id").alias("last")).where("f.doc_id <> last").select("key", "f")
-    joined = rows.join(first, "key").where(F.col("doc_id") != F.col("f.doc_id"))
-    size = F.lit(min_words)
-    return joined.select("doc_id", F.col("f.doc_id").alias("other"), "s", (F.col("s") + size).alias("e"), F.col("f.s").alias("os"), (F.col("f.s") + size).alias("oe"))
+            if not b.num_rows:
+                continue
+            t = b if wait is None else _joined([wait, b])
+            key, doc = t.column("key").to_numpy(), t.column("doc_id").to_numpy()
+            first, sizes = _starts(key)
+            several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+            if seen is not None and seen == key[0]:
+                several[0] = True
+            wait = None if several[-1] else t.slice(int(first[-1]))
+            seen = int(key[-1]) if several[-1] else None
+            at, _ = _runs(first, sizes, several)
+            if len(at):
+                yield t.take(pa.array(at))
+
+    return common.map_arrow(every.repartition("key").sortWithinPartitions("key"), run, "key long, doc_id long, l int, c int, r int")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, shingle: int = SHINGLE, functions: int = HASHES, reach: int = REACH) -> DataFrame:
     """doc_id, start_word, end_word, class_id, n_links of each repeated passage of docs(doc_id, text)."""
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if reach + shingle > SIDE - 2:
+        raise ValueError(f"reach and shingle may be {SIDE - 2} words together")
     every = common.written(windows(docs, min_words, shingle, functions, reach), "windows")
-    keys = every.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("key")
-    repeated = every.join(keys, "key", "left_semi")
-    ctx = common.written(_contexts(repeated, docs, shingle, reach), "contexts")
+    ctx = common.written(_contexts(_repeated(every), docs, shingle, reach), "contexts")
     common.drop_written(every)
-    whole, rest = _verified(ctx, min_words, shingle, reach)
-    # windows of keys with very many contexts meet again by the words beside the token
-    halves, rest = _verified(_sides(rest, min_words, shingle), min_words, shingle, reach)
-    # and where these still are very many, by each passage of min_words around the token
-    links = whole.unionByName(halves).unionByName(_passages(rest, min_words, shingle))
-    links = common.written(links.groupBy("doc_id", "other", "s", "e", "os", "oe").agg(F.count("*").alias("n")), "passage-links")
-    comp = common.components(links.select(F.col("doc_id").alias("u"), F.col("other").alias("v")), "passages").withColumnRenamed("node", "doc_id").withColumnRenamed("root", "class_id")
-    ends = links.select("doc_id", "s", "e", "n").unionByName(links.select(F.col("other").alias("doc_id"), F.col("os").alias("s"), F.col("oe").alias("e"), "n"))
+    once = common.written(_compared(ctx, min_words, shingle), "passage-links")
+    common.drop_written(ctx)
+    twice = common.written(_heads_compared(once.where("kind = 2"), min_words, shingle), "passage-links")
+    links = once.select(*twice.columns).unionByName(twice)
+    comp = common.components(links.where("kind = 1").select(F.col("doc_id").alias("u"), F.col("other").alias("v")), "passages").withColumnRenamed("node", "doc_id").withColumnRenamed("root", "class_id")
+    ends = links.where("kind = 0").select("doc_id", "s", "e", "n")
     # equal places are counted before they are gathered; then overlapping intervals of a document become one
     places = ends.groupBy("doc_id", "s", "e").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("doc_id").orderBy("s", "e")

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -310,6 +311,48 @@ def test_substring_many_contexts(spark, monkeypatch):
         assert {(x.doc_id, x.class_id) for x in substring.repeated_passages(docs).collect()} == {(20, 20), (55, 20)}
 
 
+def test_substring_many_contexts_of_near_copies(spark, monkeypatch):
+    """Among more distinct contexts of one line than are kept: two documents with changed words on both sides of it are linked as they are alone."""
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    fill = lambda n: " ".join(word() for _ in range(n))
+    line, before, after = fill(20), fill(28), fill(28)
+    texts = [f"{fill(50)} {line} {fill(50)}" for _ in range(60)]
+    for i in (20, 55):
+        x, y = before.split(), after.split()
+        x[18], x[9], y[9], y[18] = fill(4).split()
+        texts[i] = f"{fill(30)} {' '.join(x)} {line} {' '.join(y)} {fill(30)}"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [(20, 30, 106, 20), (55, 30, 106, 20)]
+    spans = lambda docs: sorted((x.doc_id, x.start_word, x.end_word, x.class_id) for x in substring.repeated_passages(docs).collect())
+    assert spans(docs.where("doc_id in (20, 55)")) == want
+    monkeypatch.setattr(substring, "KEPT", 4)
+    for block in (20_000, 15):
+        monkeypatch.setattr(substring, "BLOCK", block)
+        assert spans(docs) == want
+
+
+def test_substring_index_loses_no_pair():
+    """Pairs of a large group found by halves of runs of words are those of comparing all pairs, each once, with the extents of the plain rule."""
+    rng = np.random.default_rng(15)
+    rows = []
+    for k in range(300):
+        w = rng.integers(0, 1 << 16, 102)
+        if k:
+            like = rows[rng.integers(0, min(k, 4))][0]
+            a, z = int(rng.integers(0, 30)), int(rng.integers(72, 103))
+            w[a:z] = like[a:z]
+            w[rng.integers(0, 102, rng.integers(0, 7))] = rng.integers(0, 1 << 16)
+        w[48:54] = 1
+        rows.append((w, int(rng.integers(0, 30)), int(rng.integers(72, 103))))
+    words, lead = [w[a:z].astype("<u2") for w, a, z in rows], np.array([48 - a for _, a, _ in rows], np.int32)
+    x = substring.Contexts(pa.array([w.tobytes() for w in words]), lead, np.array([300]), 50, 6)
+    want = {(i, j): e for i in range(300) for j in range(i + 1, 300) if sum(e := substring.extent(words[i], words[j], lead[i], lead[j], 6)) >= 50}
+    for kept in (300, 40, 3):
+        got = [((min(i, j), max(i, j)), (b, a)) for part in x.links(kept) for i, j, b, a in zip(*(y.tolist() for y in part))]
+        assert len(got) == len(want) > 1000 and dict(got) == want
+
+
 def test_substring_finds_exact_repeats(spark, sf):
     """Every pair of documents that share 50 words in a row: both are reported, in one class."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
