@@ -1,14 +1,15 @@
 """Personal data by information-theoretic sanitisation.
 
-Protected entities are the values that four patterns find (the base spans). Terms near an entity, in
-the `WINDOW` words on either side, are weighed by what they reveal of it over the whole corpus:
+Protected entities are the values that four patterns find (the base spans). All terms of the documents that
+an entity stands in, however far from it, are weighed by what they reveal of it over the whole corpus:
 PMI(e; t) = ln(df(e, t) N / (df(e) df(t))) against the entity's own information IC(e) = ln(N / df(e)).
-A term that stands near the entity in at least `SUPPORT` documents, or in all of the entity's where these
-are fewer, with PMI >= `ALPHA` IC and PMI >= `FLOOR`, discloses the entity; its places near that entity become spans of kind "term".
+A term that stands beside the entity in at least `SUPPORT` documents, or in all of the entity's where these
+are fewer, with PMI >= `ALPHA` IC and PMI >= `FLOOR`, discloses the entity; its places in the entity's documents become spans of kind "term".
+As df(e, t) is at most df(e), PMI is at most ln(N / df(t)): pairs of terms too frequent to reach the thresholds
+are left out before they are counted, which takes no disclosing pair away.
 Base spans always stay. sanitise() generalises base spans and terms with digits to their kind's name and removes the other terms.
 
-Terms of any length count, and the words on either side are found however far off they are. The searches
-are linear in the text, long ones included. Nulls: a null text has no spans; null and repeated doc_ids are
+Terms of any length count. The searches are linear in the text, long ones included. Nulls: a null text has no spans; null and repeated doc_ids are
 rows like any other (every row counts as a document); an empty table gives no rows; columns other than
 doc_id and text, whatever their names, aren't read, but sanitise() returns all. Ties: spans that begin at
 one place go by kind as listed, and a PMI that equals a threshold discloses.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW, SUPPORT, ALPHA, FLOOR = 6, 2, 0.9, 3.0
+SUPPORT, ALPHA, FLOOR = 2, 0.9, 3.0
 #: Bytes from which on a term stands in the statistics by its digest.
 LONG = 200
 #: Distinct terms that a task holds before it passes them on.
@@ -112,8 +113,8 @@ def entity(kind: int, value: str) -> str:
     return hashlib.sha256(f"{kind}:{plain}".encode()).hexdigest()[:32]
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], window: int = WINDOW) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the terms near each base span that touch no base span."""
+def free_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of all terms that touch no base span."""
     # the spans' union as disjoint intervals: whether a term touches one is a binary search
     starts: list[int] = []
     ends: list[int] = []
@@ -124,42 +125,33 @@ def contexts(text: str, spans: list[tuple[int, int, int]], window: int = WINDOW)
             starts.append(s)
             ends.append(e)
     out = []
-    for s, k, e in spans:
-        name = entity(k, text[s:e])
-        near, reach = [], window * 16
-        while True:  # widen until there are enough words; the first may be cut, so one more than asked for
-            left = max(0, s - reach)
-            near = list(_TERM.finditer(text, left, s))
-            if left == 0 or len(near) > window:
-                break
-            reach *= 4
-        near = near[-window:]
-        right = []
-        for m in _TERM.finditer(text, e):
-            right.append(m)
-            if len(right) == window:
-                break
-        for m in near + right:
-            a, b = m.span()
-            i = bisect_left(starts, b) - 1  # the last interval that begins before the term's end
-            if i < 0 or ends[i] <= a:
-                out.append((name, named(m.group().translate(_LOWER).encode()), a, b))
+    for m in _TERM.finditer(text):
+        a, b = m.span()
+        i = bisect_left(starts, b) - 1  # the last interval that begins before the term's end
+        if i < 0 or ends[i] <= a:
+            out.append((named(m.group().translate(_LOWER).encode()), a, b))
     return out
 
 
+def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
+    """(entity, term, start, end) of the terms beside each base span."""
+    terms = free_terms(text, spans)
+    return [(name, *x) for s, k, e in spans for name in [entity(k, text[s:e])] for x in terms]
+
+
 def named(term: bytes) -> str:
     """A term as it stands in the statistics; of very long ones (over `LONG` bytes) a digest, so no row grows with them."""
     return term.decode("utf-8", "replace") if len(term) <= LONG else "sha256 " + hashlib.sha256(term).hexdigest()
 
 
-_SCAN = "pid int, row long, doc_id long, text_key binary, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<s:int,k:int,e:int>>, near array<struct<entity:string,term:string,s:int,e:int>>"
+_SCAN = "pid int, row long, doc_id long, text_key binary, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<s:int,k:int,e:int>>, entities array<string>, near array<struct<term:string,s:int,e:int>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """The base spans and the terms near them, a row for each row of docs(doc_id, text); written."""
+    """The base spans, their distinct entities and the terms beside them, a row for each row of docs(doc_id, text); written."""
     base_t = pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())])
-    near_t = pa.struct([("entity", pa.string()), ("term", pa.string()), ("s", pa.int32()), ("e", pa.int32())])
-    schema = pa.schema([("pid", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.binary()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()), ("base", pa.list_(base_t)), ("near", pa.list_(near_t))])
+    near_t = pa.struct([("term", pa.string()), ("s", pa.int32()), ("e", pa.int32())])
+    schema = pa.schema([("pid", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.binary()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()), ("base", pa.list_(base_t)), ("entities", pa.list_(pa.string())), ("near", pa.list_(near_t))])
 
     def run(batches):
         pid, row = TaskContext.get().partitionId(), 0
@@ -170,10 +162,10 @@ def scan(docs: DataFrame) -> DataFrame:
                 for doc_id, text in zip(s.column("doc_id").to_pylist(), common.texts_of(s.column("text"))):
                     spans = base_spans(text)
                     n = Counter(k for _, k, _ in spans)
-                    near = contexts(text, spans) if spans else []
+                    near = free_terms(text, spans) if spans else []
                     rows.append(
                         (pid, row, doc_id, hashlib.sha256(text.encode()).digest()[:16] if spans else None, n[0], n[1], n[2], n[3], hashlib.sha256(digest(spans).encode()).hexdigest(),
-                         [{"s": a, "k": k, "e": z} for a, k, z in spans], [{"entity": i, "term": t, "s": a, "e": z} for i, t, a, z in near])
+                         [{"s": a, "k": k, "e": z} for a, k, z in spans], sorted({entity(k, text[a:z]) for a, k, z in spans}), [{"term": t, "s": a, "e": z} for t, a, z in near])
                     )
                     row += 1
                 if rows:
@@ -243,27 +235,33 @@ def document_frequencies(docs: DataFrame, bits: bytes | None = None) -> DataFram
 
 
 def disclosing(scanned: DataFrame, docs: DataFrame, support: int = SUPPORT, alpha: float = ALPHA, floor: float = FLOOR) -> DataFrame:
-    """entity, term: the pairs over the disclosure threshold."""
-    n = scanned.count()
-    near = scanned.where(F.size("near") > 0).select("pid", "row", F.explode("near").alias("x"))
-    pairs = near.select("pid", "row", "x.entity", "x.term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
-    entities = near.select("pid", "row", "x.entity").distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
-    pairs = pairs.join(entities, "entity").where(F.col("both") >= F.least(F.lit(support), "df_e"))
-    pairs = common.written(pairs, "pii-pairs")
-    terms = pairs.select("term").distinct()
-    df_t = document_frequencies(docs, term_filter(terms)).join(terms, "term", "left_semi")
-    pmi = F.ln(F.col("both") * F.lit(float(max(n, 1))) / (F.col("df_e") * F.col("df")))
-    ic = F.ln(F.lit(float(max(n, 1))) / F.col("df_e"))
-    return pairs.join(df_t, "term").where((pmi >= F.lit(alpha) * ic) & (pmi >= F.lit(floor))).select("entity", "term")
+    """pid, row, term: the terms of each row that are over the disclosure threshold with one of its entities. Written."""
+    n = F.lit(float(max(scanned.count(), 1)))
+    entities = scanned.where(F.size("near") > 0).select("pid", "row", F.explode("entities").alias("entity"))
+    entities = entities.join(entities.groupBy("entity").agg(F.count("*").alias("df_e")), "entity")
+    terms = scanned.where(F.size("near") > 0).select("pid", "row", F.explode(F.array_distinct(F.transform("near", lambda x: x["term"]))).alias("term"))
+    df_t = document_frequencies(docs, term_filter(terms))
+    # PMI is at most `most`: a term that can't reach the floor, or an entity's threshold, pairs with nothing
+    most, ic = F.ln(n / F.col("df")), F.ln(n / F.col("df_e"))
+    slack = F.lit(1e-9)
+    terms = terms.join(df_t.where(most + slack >= F.lit(floor)), "term")
+    beside = common.written(entities.join(terms, ["pid", "row"]).where(most + slack >= F.lit(alpha) * ic), "pii-pairs")
+    pairs = beside.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("df_e").alias("df_e"), F.first("df").alias("df"))
+    pmi = F.ln(F.col("both") * n / (F.col("df_e") * F.col("df")))
+    over = pairs.where((F.col("both") >= F.least(F.lit(support), "df_e")) & (pmi >= F.lit(alpha) * ic) & (pmi >= F.lit(floor))).select("entity", "term")
+    out = common.written(beside.join(over, ["entity", "term"], "left_semi").select("pid", "row", "term").distinct(), "pii-disclosing")
+    common.drop_written(beside)
+    return out
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, text_key for each row of docs."""
     scanned = scan(docs)
     flagged = disclosing(scanned, docs)
-    near = scanned.where(F.size("near") > 0).select("pid", "row", F.explode("near").alias("x")).select("pid", "row", "x.*")
-    terms = near.join(flagged, ["entity", "term"], "left_semi").groupBy("pid", "row").agg(F.collect_set(F.struct("s", F.lit(4).alias("k"), "e")).alias("terms"))
-    bare = scanned.drop("near")
+    # only rows with a disclosing term give their terms' places
+    near = scanned.where(F.size("near") > 0).join(flagged.select("pid", "row").distinct(), ["pid", "row"], "left_semi").select("pid", "row", F.explode("near").alias("x")).select("pid", "row", "x.*")
+    terms = near.join(flagged, ["pid", "row", "term"], "left_semi").groupBy("pid", "row").agg(F.collect_set(F.struct("s", F.lit(4).alias("k"), "e")).alias("terms"))
+    bare = scanned.drop("near", "entities")
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
     # rows without base spans have no terms: they don't go through the join
     with_terms = bare.where(F.size("base") > 0).join(terms, ["pid", "row"], "left").withColumn("terms", F.coalesce("terms", none))

@@ -181,6 +181,15 @@ def test_pii_disclosure_by_one_document(spark):
     assert [texts[100][int(s) : int(e)] for k, s, e in spans if k == "term"] == ["Quixolotl"] and not any(got[i] for i in range(100))
 
 
+def test_pii_disclosure_far_from_the_entity(spark):
+    """A name is flagged wherever it stands in the documents of an address, long before and long after it too, common words aren't."""
+    common_words = [" ".join(f"w{(i + k) % 40}" for k in range(60)) for i in range(100)]
+    texts = [*common_words, *(f"Quixolotl {x} one@mail.example.com {x} Brankovar w1" for x in common_words[:3])]
+    got = {x.doc_id: x for x in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    names = lambda i: [texts[i][int(s) : int(e)] for k, s, e in (x.split(":") for x in got[i].spans.split(",")) if k == "term"]
+    assert all(names(k) == ["Quixolotl", "Brankovar"] for k in (100, 101, 102)) and not any(got[i].spans for i in range(100))
+
+
 def test_compact_windows_are_the_cartesian_tree():
     rng = np.random.default_rng(2)
     for n, t in ((1, 1), (30, 1), (60, 7), (61, 20), (9, 10)):
