@@ -43,7 +43,7 @@ BLOCK, KEPT = 20_000, 32
 #: Ways in which a link's missing words may lie before and after the token that are looked up one by one.
 CASES = 11
 #: Words on either side of a token that one number has marks for, and pairs that are compared at once.
-SIDE, PAIRS = 64, 1 << 18
+SIDE, PAIRS = 64, 1 << 12
 #: Words of all documents of a batch whose windows are found at once.
 BATCH_WORDS = 1_000_000
 
@@ -401,7 +401,7 @@ class _Found:
         if len(link[0]):
             self.parts.append(link)
             self.size += len(link[0])
-            if self.size > 4 * PAIRS:
+            if self.size > 1 << 20:
                 self._reduce()
 
     def _reduce(self) -> None:
