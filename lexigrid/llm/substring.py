@@ -9,7 +9,8 @@ one context are one, linked to the smallest document's, and all distinct context
 pairs, outward from the shared token, through single changed words, to the ends of both windows' contexts. In a
 group of over `KEPT` distinct contexts only pairs that can agree over MIN_WORDS words are compared: of any
 AGREE + 1 words that a link runs over at most one is changed, so one half of them agrees, and pairs that agree in
-no half of some such run, for each way in which MIN_WORDS words can lie around the token, are left out. That
+no half of some such run, for each way in which MIN_WORDS words can lie around the token, are left out: runs are
+keys while groups are large, and the pairs of small ones are sifted by the halves of all further runs. That
 loses no pair. Groups of over `BLOCK` windows are first reduced to their distinct contexts; where these are over
 `BLOCK` as well they are dealt to parts, and each two parts meet in a task. So a further document takes no link
 away between two others.
@@ -42,8 +43,8 @@ AGREE = 5
 BLOCK, KEPT = 20_000, 32
 #: Ways in which a link's missing words may lie before and after the token that are looked up one by one.
 CASES = 11
-#: Words on either side of a token that one number has marks for, and pairs that are compared at once.
-SIDE, PAIRS = 64, 1 << 12
+#: Words on either side of a token that one number has marks for, and pairs that are compared, and sifted before that, at once.
+SIDE, PAIRS, SIFTED = 64, 1 << 12, 1 << 14
 #: Words of all documents of a batch whose windows are found at once.
 BATCH_WORDS = 1_000_000
 
@@ -284,6 +285,7 @@ class Contexts:
         #: words from the token outward, first those before it, then those from it on; beyond an end anything
         self.words = flat.take(np.clip((at[:-1] + lead)[:, None] + steps, 0, len(flat) - 1))
         self.ends = np.stack((lead, np.diff(at) - lead))
+        self.values: dict[tuple[int, int, int], np.ndarray] = {}
 
     def extents(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Marks of words that differ (before, after) and how far i and j agree."""
@@ -321,29 +323,21 @@ class Contexts:
         enough = (self.ends[0, rows] >= least) & (self.ends[1, rows] >= self.shingle + after)
         group = np.repeat(np.arange(len(sizes)), sizes)[enough]
         rows = rows[enough]
+        halves = [(self._value(side, lo, mid), self._value(side, mid, hi)) for side, lo, mid, hi in runs]
         choice = np.zeros(len(rows), dtype=np.int64)  # bit d: in run d the second half agrees and the first doesn't
         for depth in range(len(runs) + 1):
             # rows come by group; small groups, and all after the last run, are compared
             first, sizes = _starts(group)
             small = sizes <= kept if depth < len(runs) else sizes > 0
             at, n = _runs(first, sizes, small & (sizes > 1))
-            for p, q in _pairs(at, n):
-                i, j, chosen = rows[p], rows[q], choice[p]
+            for i, j in self._sifted(rows, choice, at, n, halves, depth):
                 marks, (b, a) = self.extents(i, j)
-                ok = (b >= least) & (b < beyond) & (b + a >= self.min_words)
-                for d, (side, lo, mid, _) in enumerate(runs[:depth]):
-                    ok &= (chosen >> d & 1 == 0) | (marks[side] & np.uint64((1 << mid) - (1 << lo)) != 0)
-                yield self._those(i, j, b, a, ok)
+                yield self._those(i, j, b, a, (b >= least) & (b < beyond) & (b + a >= self.min_words))
             at, n = _runs(first, sizes, ~small)
             if not len(at):
                 return
-            side, lo, mid, hi = runs[depth]
             parts, r, g = [], rows[at], group[at]
-            values = []
-            for x, y in ((lo, mid), (mid, hi)):
-                values.append(np.zeros(len(r), dtype=np.uint64))
-                for k in range(x, y):
-                    values[-1] = values[-1] << np.uint64(16) | self.words[r, SIDE * side + k]
+            values = [x[r] for x in halves[depth]]
             for half, value in enumerate(values):
                 order = np.lexsort((value, g))
                 new = np.ones(len(r), dtype=bool)
@@ -358,6 +352,41 @@ class Contexts:
                 parts.append((r[order], 2 * np.repeat(np.arange(len(n)), n) + half, choice[at][order] | half << depth))
             rows, group, choice = (np.concatenate(x) for x in zip(*parts))
 
+    def _value(self, side: int, lo: int, hi: int) -> np.ndarray:
+        """Of all contexts, the words lo to hi (four at most) of a side as one number."""
+        if (side, lo, hi) not in self.values:
+            value = np.zeros(len(self.words), dtype=np.uint64)
+            for k in range(lo, hi):
+                value = value << np.uint64(16) | self.words[:, SIDE * side + k]
+            self.values[side, lo, hi] = value
+        return self.values[side, lo, hi]
+
+    def _sifted(self, rows: np.ndarray, choice: np.ndarray, at: np.ndarray, sizes: np.ndarray, halves: list, depth: int):
+        """Batches of the pairs within runs of rows that agree in a half of each further run, and in no first half where the second was chosen."""
+        left, right, n = [], [], 0
+        for p, q in _pairs(at, sizes, SIFTED):
+            i, j = rows[p], rows[q]
+            chosen = choice[p]
+            for d in [*range(depth, len(halves)), *range(depth)]:
+                x, y = halves[d]
+                same = x[i] == x[j]
+                ok = np.flatnonzero(same | (y[i] == y[j]) if d >= depth else ~(same & (chosen >> d & 1 == 1)))
+                if len(ok) < len(i):
+                    i, j, chosen = i[ok], j[ok], chosen[ok]
+            left.append(i)
+            right.append(j)
+            n += len(i)
+            if n >= PAIRS:
+                yield from _parts(np.concatenate(left), np.concatenate(right))
+                left, right, n = [], [], 0
+        if n:
+            yield from _parts(np.concatenate(left), np.concatenate(right))
+
+
+def _parts(i: np.ndarray, j: np.ndarray):
+    for lo in range(0, len(i), PAIRS):
+        yield i[lo : lo + PAIRS], j[lo : lo + PAIRS]
+
 
 def _starts(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First places and sizes of the runs of equal values."""
@@ -371,14 +400,14 @@ def _runs(first: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.n
     return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum())), sizes
 
 
-def _pairs(rows: np.ndarray, sizes: np.ndarray):
-    """All pairs within runs of rows, in batches of about PAIRS."""
+def _pairs(rows: np.ndarray, sizes: np.ndarray, most: int = PAIRS):
+    """All pairs within runs of rows, in batches of about `most`."""
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(rows)) - 1  # rows after each in its run
     total = np.cumsum(left)
     lo = 0
     while lo < len(rows):
         done = int(total[lo - 1]) if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(total, done + PAIRS, side="right")))
+        hi = max(lo + 1, int(np.searchsorted(total, done + most, side="right")))
         n = left[lo:hi]
         p = np.repeat(np.arange(lo, hi), n)
         if len(p):

@@ -362,6 +362,24 @@ def test_substring_index_loses_no_pair():
         assert len(got) == len(want) > 1000 and dict(got) == want
 
 
+def test_substring_index_compares_few_pairs(monkeypatch):
+    """In a large group of contexts that are alike on one side of the token alone, few pairs that aren't links are compared word by word."""
+    rng = np.random.default_rng(16)
+    rows = []
+    for k in range(400):
+        w = rng.integers(0, 1 << 16, 102)
+        if k % 20:
+            w[:30] = rows[-1][:30]
+            w[24 + rng.integers(0, 6)] = rng.integers(0, 1 << 16)
+        w[30:54] = 1
+        rows.append(w)
+    x = substring.Contexts(pa.array([w.astype("<u2").tobytes() for w in rows]), np.full(400, 48, np.int32), np.array([400]), 50, 6)
+    seen, plain = [], substring.Contexts.extents
+    monkeypatch.setattr(substring.Contexts, "extents", lambda self, i, j: seen.append(len(i)) or plain(self, i, j))
+    links = sum(len(part[0]) for part in x.links(32))
+    assert links > 100 and sum(seen) < 4 * links
+
+
 def test_substring_finds_exact_repeats(spark, sf):
     """Every pair of documents that share 50 words in a row: both are reported, in one class."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
