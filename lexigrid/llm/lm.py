@@ -124,10 +124,16 @@ class Vocabulary:
     def units(self, ids: np.ndarray, at: np.ndarray, words: list[list[bytes]]) -> np.ndarray:
         """The unit of each token, those beyond the head in their tail units."""
         u = self.unit.take(ids)
-        miss = np.flatnonzero(ids == len(self.count) - 1)
+        gone = ids == len(self.count) - 1
+        if END not in self.index:
+            gone[at[1:] - 1] = False  # ends are in the first tail unit
+        miss = np.flatnonzero(gone)
         if len(miss) and self.tails > 1:
             doc = np.searchsorted(at, miss, side="right") - 1
-            u[miss] = [self.other + (bucket(words[d][k], self.tails) if k < len(words[d]) else 0) for d, k in zip(doc.tolist(), (miss - at[doc]).tolist())]
+            crc = zlib.crc32
+            # bucket(), without a call for each word
+            codes = [crc(words[d][k][-ENDING:]) for d, k in zip(doc.tolist(), (miss - at[doc]).tolist())]
+            u[miss] = self.other + np.array(codes, dtype=np.int64) % self.tails
         return u
 
     def contexts(self, ids: np.ndarray, at: np.ndarray, words: list[list[bytes]], units: np.ndarray | None = None) -> np.ndarray:
@@ -212,9 +218,10 @@ def _log_share(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, child: np.n
     s = h @ weights.T
     s += bias
     own = s[_COUNT[: len(s)], child].astype(np.float64)
-    total = np.exp(s).sum(axis=1, dtype=np.float64)
+    total = (np.exp(s, out=s) @ np.ones(s.shape[1], dtype=np.float32)).astype(np.float64)
     if 1e-30 < total.min() and total.max() < np.inf:
         return own - np.log(total)
+    s = h @ weights.T + bias
     top = s.max(axis=1)  # scores too large or too small for exp()
     return own - top - np.log(np.exp(s - top[:, None]).sum(axis=1))
 
@@ -230,7 +237,18 @@ def _sorted(y: np.ndarray) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(np.minimum(-x, 30)))
+    """In x's own place."""
+    np.negative(x, out=x)
+    np.minimum(x, 30, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.divide(1, x, out=x)
+
+
+def _complex(real: np.ndarray, imag: np.ndarray) -> np.ndarray:
+    out = np.empty(real.shape, dtype=np.complex128)
+    out.real, out.imag = real, imag
+    return out
 
 
 def alias_table(shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +279,6 @@ class Trainer:
         self.draw = [alias_table(p) for p in inside]
         self.squares = {n: np.ones(getattr(model, n).shape[:1] if n in ("context", "top", "mid", "word") else getattr(model, n).shape, dtype=np.float32) for n in Model.NAMES}
         self.slot = {n: np.zeros(getattr(model, n).shape[0], dtype=np.int64) for n in ("context", "word")}
-        self.mark = {n: np.zeros(len(x), dtype=bool) for n, x in self.slot.items()}
 
     def _apply(self, name: str, rows: np.ndarray | None, grad: np.ndarray) -> None:
         """An AdaGrad step of distinct rows (None: of all); a row of vectors shares one rate."""
@@ -278,21 +295,25 @@ class Trainer:
             target[rows] = grad
             sq[rows] = new
 
-    def _scatter(self, name: str, rows: np.ndarray, coefficients: np.ndarray | None, vectors: list[np.ndarray]) -> None:
-        """Sum, for equal rows, coefficients times vectors (dimension by dimension) and step; with coefficients the biases as well."""
+    def _scatter(self, name: str, rows: np.ndarray, coefficients: np.ndarray | None, vectors) -> None:
+        """Sum, for equal rows, coefficients times vectors and step; with coefficients the biases as well.
+
+        vectors: two dimensions at a time as the parts of complex numbers, which add.at() sums faster than bincount() does each by itself.
+        """
         if name in self.slot:
-            slot, mark = self.slot[name], self.mark[name]
-            mark[rows] = True
-            distinct = np.flatnonzero(mark)
-            mark[distinct] = False
+            slot, count = self.slot[name], np.arange(len(rows))
+            slot[rows] = count
+            distinct = rows[slot.take(rows) == count]  # each row once, where it was set last
             n = len(distinct)
-            slot[distinct] = np.arange(n)
+            slot[distinct] = count[:n]
             at = slot.take(rows)
         else:
             distinct, at, n = None, rows, len(getattr(self.m, name))
+        sums = np.zeros((DIM // 2, n), dtype=np.complex128)
+        for total, x in zip(sums, vectors):
+            np.add.at(total, at, (x if coefficients is None else coefficients * x).ravel())
         grad = np.empty((n, DIM), dtype=np.float32)
-        for d in range(DIM):
-            grad[:, d] = np.bincount(at, vectors[d] if coefficients is None else (coefficients * vectors[d]).ravel(), n)
+        grad[:, ::2], grad[:, 1::2] = sums.real.T, sums.imag.T
         self._apply(name, distinct, grad)
         if coefficients is not None:
             self._apply(f"{name}_bias", distinct, np.bincount(at, coefficients.ravel(), n).astype(np.float32))
@@ -327,7 +348,8 @@ class Trainer:
         k = NOISE * max(CLASSES, r) // CLASSES  # as many a class as for the least number
         z = self.rng.choice(r, k, p=self.q)
         noise = np.bincount(z, minlength=r).astype(np.float32)
-        s = h @ m.top.T + (m.top_bias - self.log_q[0] - np.float32(np.log(k)))
+        s = h @ m.top.T
+        s += m.top_bias - self.log_q[0] - np.float32(np.log(k))
         g = _sigmoid(s)
         mine = 1 - g[np.arange(n), y]
         g *= -noise
@@ -343,14 +365,14 @@ class Trainer:
         if len(deep):
             leaf = place.take(deep) - self.single * r**2
             group, inner, back = leaf // r, h.take(deep, axis=0), np.zeros((len(deep), DIM), dtype=np.float32)
-            columns = inner.T.astype(np.float64)
+            columns = inner.view(np.complex64).T.astype(np.complex128, order="C")
             self._inside("mid", 1, group // r, group, high.take(deep, axis=1), inner, columns, back)
             self._inside("word", 2, group, leaf, u.take(deep, axis=1), inner, columns, back)
             dh[deep] += back
         self._apply("top", None, g.T @ h)
         self._apply("top_bias", None, g.sum(axis=0))
-        back = dh.T.astype(np.float64)
-        self._scatter("context", contexts.ravel(), None, [(m.scale[:, d, None] * back[d]).ravel() for d in range(DIM)])
+        back, scale = dh.T.astype(np.float64, order="C"), m.scale.T[:, :, None]
+        self._scatter("context", contexts.ravel(), None, (_complex(scale[d] * back[d], scale[d + 1] * back[d + 1]) for d in range(0, DIM, 2)))
         self._apply("scale", None, np.stack([np.einsum("nd,nd->d", dh, parts[k]) for k in range(CONTEXT)]))
 
 

@@ -462,6 +462,37 @@ def test_lm_draws_noise_for_each_target():
     assert sizes == [lm.BATCH * lm.WORD_NOISE] and (lm.BATCH, lm.NOISE, lm.WORD_NOISE, t.rate) == (2048, 16, 4, 0.1)
 
 
+def test_lm_sums_of_equal_rows(monkeypatch):
+    """Gradients of equal rows are summed in few passes (once a pair of dimensions), to the sums of the plain loop."""
+    v = lm.Vocabulary([b"%d" % i for i in range(500)], list(range(1000, 500, -1)), 400_000, 500)
+    m = lm.Model(v)
+    t, rng, calls, plain = lm.Trainer(m, v, 0), np.random.default_rng(5), [], np.bincount
+    rows, old = rng.integers(0, 90, (lm.CONTEXT, 200)), m.context.copy()
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    seen = []
+    scatter = t._scatter
+    monkeypatch.setattr(t, "_scatter", lambda name, *a: seen.append(name) or scatter(name, *a))
+    apply, grads = t._apply, {}
+    monkeypatch.setattr(t, "_apply", lambda name, at, grad: grads.setdefault(name, (at, grad.copy())) and apply(name, at, grad))
+    t.step(rows.astype(np.int32), v.place[rng.integers(0, 500, 200)])
+    assert seen == ["mid", "word", "context"] and len(calls) <= 4
+    at, grad = grads["context"]
+    assert sorted(at.tolist()) == sorted(set(rows.ravel().tolist()))
+    # the step of a row with squares of one before it: rate * sum / sqrt(1 + mean square of the sum)
+    want = old.copy()
+    want[at] += 0.1 * grad / np.sqrt(1 + (grad * grad).sum(axis=1, keepdims=True) / lm.DIM)
+    assert np.allclose(m.context, want, atol=1e-6) and not np.allclose(m.context, old, atol=1e-4)
+    # sums themselves, with vectors known
+    x = rng.standard_normal((lm.CONTEXT, 200, lm.DIM))
+    t.slot["context"][:] = 7  # whatever it held
+    grads.clear()
+    t._scatter("context", rows.ravel(), None, [x[:, :, d] + 1j * x[:, :, d + 1] for d in range(0, lm.DIM, 2)])
+    at, grad = grads["context"]
+    sums = np.zeros((v.n_contexts, lm.DIM))
+    np.add.at(sums, rows.ravel(), x.reshape(-1, lm.DIM))
+    assert np.allclose(grad, sums[at], atol=1e-5)
+
+
 def test_pipeline(spark, sf):
     """run() against its stages' brute-force versions."""
     pipeline = pytest.importorskip("corpus_pipeline")
