@@ -181,9 +181,12 @@ class Model:
             at += size
 
     def hidden(self, contexts: np.ndarray) -> np.ndarray:
-        out = self.context.take(contexts[0], axis=0) * self.scale[0]
-        for k in range(1, CONTEXT):
-            out += self.context.take(contexts[k], axis=0) * self.scale[k]
+        out = np.empty((contexts.shape[1], DIM), dtype=np.float32)
+        for lo in range(0, len(out), 1 << 12):  # a text's tokens are each other's contexts, so their vectors stay in the cache
+            c, h = contexts[:, lo : lo + (1 << 12)], out[lo : lo + (1 << 12)]
+            np.multiply(self.context.take(c[0], axis=0), self.scale[0], out=h)
+            for k in range(1, CONTEXT):
+                h += self.context.take(c[k], axis=0) * self.scale[k]
         return out
 
     def log10(self, contexts: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -196,7 +199,7 @@ class Model:
             # tokens in the order of their leaves, so that those of a node lie together
             order = inside[_sorted(y[inside])]
             y = y[order]
-            h = self.hidden(contexts[:, lo : lo + (1 << 19)].take(order, axis=1))
+            h = self.hidden(contexts[:, lo : lo + (1 << 19)]).take(order, axis=0)
             got, bias = np.empty(len(y), dtype=np.float64), self.top_bias
             for i in range(0, len(y), 1 << 11):  # scores of some thousand tokens stay in the cache
                 got[i : i + (1 << 11)] = _log_share(h[i : i + (1 << 11)], self.top, bias, y[i : i + (1 << 11)] // size)
@@ -245,12 +248,29 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.divide(1, x, out=x)
 
 
-def _complex(real: np.ndarray, imag: np.ndarray) -> np.ndarray:
-    out = np.empty(real.shape, dtype=np.complex128)
-    out.real, out.imag = real, imag
+def _sums(at: np.ndarray, n: int, coefficients: np.ndarray | None, vectors) -> np.ndarray:
+    """Sums of coefficients times vectors to the rows `at` of n.
+
+    vectors: two dimensions at a time as the parts of complex numbers, which add.at() sums faster than bincount() does each by itself.
+    """
+    sums = np.zeros((DIM // 2, n), dtype=np.complex128)
+    for total, x in zip(sums, vectors):
+        np.add.at(total, at, (x if coefficients is None else coefficients * x).ravel())
+    out = np.empty((n, DIM), dtype=np.float32)
+    out[:, ::2], out[:, 1::2] = sums.real.T, sums.imag.T
     return out
 
 
+def _products(scale: np.ndarray, dh: np.ndarray):
+    """Two dimensions at a time, as the parts of complex numbers: what each context's vector takes of dh. The next ones take the place of the last."""
+    scale, back = scale.T[:, :, None], dh.T.astype(np.float64, order="C")
+    out = np.empty((CONTEXT, len(dh)), dtype=np.complex128)
+    for d in range(0, DIM, 2):
+        np.multiply(scale[d], back[d], out=out.real)
+        np.multiply(scale[d + 1], back[d + 1], out=out.imag)
+        yield out
+
+
 def alias_table(shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows of shares (nodes x children) the alias method's tables: how much of each child's slot is its own, and whose the rest is."""
     left = shares / np.maximum(shares.sum(axis=1, keepdims=True), 1e-300) * shares.shape[1]
@@ -280,8 +300,8 @@ class Trainer:
         self.squares = {n: np.ones(getattr(model, n).shape[:1] if n in ("context", "top", "mid", "word") else getattr(model, n).shape, dtype=np.float32) for n in Model.NAMES}
         self.slot = {n: np.zeros(getattr(model, n).shape[0], dtype=np.int64) for n in ("context", "word")}
 
-    def _apply(self, name: str, rows: np.ndarray | None, grad: np.ndarray) -> None:
-        """An AdaGrad step of distinct rows (None: of all); a row of vectors shares one rate."""
+    def _apply(self, name: str, rows: np.ndarray | None, grad: np.ndarray, values: np.ndarray | None = None) -> None:
+        """An AdaGrad step of distinct rows (None: of all), whose values may be given; a row of vectors shares one rate."""
         target, sq = getattr(self.m, name), self.squares[name]
         shared = grad.ndim == 2 and sq.ndim == 1
         new = sq if rows is None else sq.take(rows, axis=0)
@@ -291,30 +311,25 @@ class Trainer:
         if rows is None:
             target += grad
         else:
-            grad += target.take(rows, axis=0)
+            grad += target.take(rows, axis=0) if values is None else values
             target[rows] = grad
             sq[rows] = new
 
-    def _scatter(self, name: str, rows: np.ndarray, coefficients: np.ndarray | None, vectors) -> None:
-        """Sum, for equal rows, coefficients times vectors and step; with coefficients the biases as well.
-
-        vectors: two dimensions at a time as the parts of complex numbers, which add.at() sums faster than bincount() does each by itself.
-        """
-        if name in self.slot:
-            slot, count = self.slot[name], np.arange(len(rows))
-            slot[rows] = count
-            distinct = rows[slot.take(rows) == count]  # each row once, where it was set last
-            n = len(distinct)
-            slot[distinct] = count[:n]
-            at = slot.take(rows)
-        else:
-            distinct, at, n = None, rows, len(getattr(self.m, name))
-        sums = np.zeros((DIM // 2, n), dtype=np.complex128)
-        for total, x in zip(sums, vectors):
-            np.add.at(total, at, (x if coefficients is None else coefficients * x).ravel())
-        grad = np.empty((n, DIM), dtype=np.float32)
-        grad[:, ::2], grad[:, 1::2] = sums.real.T, sums.imag.T
-        self._apply(name, distinct, grad)
+    def _distinct(self, name: str, rows: np.ndarray) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+        """Each row once (None: all rows of a small table), where `rows` are among these, and the vectors of these."""
+        if name not in self.slot:
+            return None, rows, getattr(self.m, name)
+        slot, count = self.slot[name], np.arange(len(rows))
+        slot[rows] = count
+        distinct = rows[slot.take(rows) == count]  # where each row was set last
+        slot[distinct] = count[: len(distinct)]
+        return distinct, slot.take(rows), getattr(self.m, name).take(distinct, axis=0)
+
+    def _scatter(self, name: str, distinct: np.ndarray | None, at: np.ndarray, values: np.ndarray, coefficients: np.ndarray | None, vectors) -> None:
+        """Sum, for equal rows, coefficients times vectors and step; with coefficients the biases as well."""
+        n = len(values)
+        grad = _sums(at, n, coefficients, vectors)
+        self._apply(name, distinct, grad, values)
         if coefficients is not None:
             self._apply(f"{name}_bias", distinct, np.bincount(at, coefficients.ravel(), n).astype(np.float32))
 
@@ -329,17 +344,21 @@ class Trainer:
         rows = np.empty((WORD_NOISE + 1, len(target)), dtype=np.int64)
         rows[0] = target
         rows[1:] = np.where(u < own.take(slot), slot, other.take(slot))
-        w = getattr(m, name).take(rows, axis=0)
+        distinct, at, values = self._distinct(name, rows.ravel())
+        rows = at.reshape(rows.shape)
+        bias = getattr(m, f"{name}_bias")
+        w = values.take(rows, axis=0)
         s = np.einsum("nd,knd->kn", h, w)
-        s += getattr(m, f"{name}_bias").take(rows) - log_q.take(rows) - lk
+        s += (bias - log_q - lk if distinct is None else bias.take(distinct) - log_q.take(distinct) - lk).take(rows)
         g = -_sigmoid(s)
         g[0] += 1
         dh += np.einsum("kn,knd->nd", g, w)
-        self._scatter(name, rows.ravel(), g.astype(np.float64), columns)
+        self._scatter(name, distinct, at, values, g.astype(np.float64), columns)
 
     def step(self, contexts: np.ndarray, place: np.ndarray) -> None:
         m, n, r = self.m, len(place), self.width
-        parts = [m.context.take(contexts[k], axis=0) for k in range(CONTEXT)]
+        distinct, at, values = self._distinct("context", contexts.ravel().astype(np.int64))
+        parts = values.take(at.reshape(contexts.shape), axis=0)
         h = parts[0] * m.scale[0]
         for k in range(1, CONTEXT):
             h += parts[k] * m.scale[k]
@@ -347,32 +366,41 @@ class Trainer:
         # classes: noise shared by the batch
         k = NOISE * max(CLASSES, r) // CLASSES  # as many a class as for the least number
         z = self.rng.choice(r, k, p=self.q)
-        noise = np.bincount(z, minlength=r).astype(np.float32)
-        s = h @ m.top.T
-        s += m.top_bias - self.log_q[0] - np.float32(np.log(k))
-        g = _sigmoid(s)
-        mine = 1 - g[np.arange(n), y]
-        g *= -noise
-        g[np.arange(n), y] += mine
-        dh = g @ m.top
+        noise = np.bincount(z, minlength=r)
+        drawn = np.flatnonzero(noise)  # the other classes have a gradient by their own targets alone
+        top, bias = m.top.take(drawn, axis=0), m.top_bias - self.log_q[0] - np.float32(np.log(k))
+        g = h @ top.T
+        g += bias.take(drawn)
+        g = _sigmoid(g)
+        g *= -noise.take(drawn).astype(np.float32)
+        own = m.top.take(y, axis=0)
+        s = np.einsum("nd,nd->n", h, own)
+        s += bias.take(y)
+        mine = 1 - _sigmoid(s)
+        dh = g @ top
+        own *= mine[:, None]
+        dh += own
         # groups and units: noise from the target's own class and group, for each target; high and low bits of one draw
         u = self.rng.random((WORD_NOISE, n))
         u *= 1 << 24
         high = np.floor(u)
         u -= high
         high /= 1 << 24
+        columns = h.view(np.complex64).T.astype(np.complex128, order="C")
         deep = np.flatnonzero(y >= self.single)
         if len(deep):
             leaf = place.take(deep) - self.single * r**2
             group, inner, back = leaf // r, h.take(deep, axis=0), np.zeros((len(deep), DIM), dtype=np.float32)
-            columns = inner.view(np.complex64).T.astype(np.complex128, order="C")
-            self._inside("mid", 1, group // r, group, high.take(deep, axis=1), inner, columns, back)
-            self._inside("word", 2, group, leaf, u.take(deep, axis=1), inner, columns, back)
+            theirs = columns.take(deep, axis=1)
+            self._inside("mid", 1, group // r, group, high.take(deep, axis=1), inner, theirs, back)
+            self._inside("word", 2, group, leaf, u.take(deep, axis=1), inner, theirs, back)
             dh[deep] += back
-        self._apply("top", None, g.T @ h)
-        self._apply("top_bias", None, g.sum(axis=0))
-        back, scale = dh.T.astype(np.float64, order="C"), m.scale.T[:, :, None]
-        self._scatter("context", contexts.ravel(), None, (_complex(scale[d] * back[d], scale[d + 1] * back[d + 1]) for d in range(0, DIM, 2)))
+        grad, bias = _sums(y, r, mine, columns), np.bincount(y, mine, r).astype(np.float32)
+        grad[drawn] += g.T @ h
+        bias[drawn] += g.sum(axis=0)
+        self._apply("top", None, grad)
+        self._apply("top_bias", None, bias)
+        self._scatter("context", distinct, at, values, None, _products(m.scale, dh))
         self._apply("scale", None, np.stack([np.einsum("nd,nd->d", dh, parts[k]) for k in range(CONTEXT)]))
 
 

@@ -473,7 +473,7 @@ def test_lm_sums_of_equal_rows(monkeypatch):
     scatter = t._scatter
     monkeypatch.setattr(t, "_scatter", lambda name, *a: seen.append(name) or scatter(name, *a))
     apply, grads = t._apply, {}
-    monkeypatch.setattr(t, "_apply", lambda name, at, grad: grads.setdefault(name, (at, grad.copy())) and apply(name, at, grad))
+    monkeypatch.setattr(t, "_apply", lambda name, at, grad, *a: grads.setdefault(name, (at, grad.copy())) and apply(name, at, grad, *a))
     t.step(rows.astype(np.int32), v.place[rng.integers(0, 500, 200)])
     assert seen == ["mid", "word", "context"] and len(calls) <= 4
     at, grad = grads["context"]
@@ -486,7 +486,7 @@ def test_lm_sums_of_equal_rows(monkeypatch):
     x = rng.standard_normal((lm.CONTEXT, 200, lm.DIM))
     t.slot["context"][:] = 7  # whatever it held
     grads.clear()
-    t._scatter("context", rows.ravel(), None, [x[:, :, d] + 1j * x[:, :, d + 1] for d in range(0, lm.DIM, 2)])
+    t._scatter("context", *t._distinct("context", rows.ravel()), None, [x[:, :, d] + 1j * x[:, :, d + 1] for d in range(0, lm.DIM, 2)])
     at, grad = grads["context"]
     sums = np.zeros((v.n_contexts, lm.DIM))
     np.add.at(sums, rows.ravel(), x.reshape(-1, lm.DIM))
