@@ -30,10 +30,10 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +43,9 @@ from . import common
 #: Classes and places of the least vocabulary; noise draws of classes are counted for so many.
 CLASSES, CONTEXT, DIM = 32, 3, 16
 WORDS = CLASSES * CLASSES - 1
-HEAD, HELD, WARM = 150_000, 500_000, 300
+HEAD, WARM = 150_000, 300
+#: Bytes of texts whose tokens are looked up, or counted, at once.
+LOOKED_UP, COUNTED = 1 << 23, 1 << 25
 SHARD, SHARDS = 4_000_000, 4096
 #: Last bytes of a word that choose its tail unit.
 ENDING = 4
@@ -58,6 +60,32 @@ def bucket(token: bytes, buckets: int) -> int:
     return zlib.crc32(token[-ENDING:]) % buckets
 
 
+def split(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts as bytes.lower().split() has them, and the number of each text's."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, type=pa.large_binary()).view(pa.large_string())))
+    words, at = lists.flatten().view(pa.large_binary()), lists.offsets.to_numpy()
+    sizes = np.diff(at)
+    empty = np.flatnonzero(pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False))
+    if len(empty):  # where a text is empty, or begins or ends with a blank
+        sizes -= np.bincount(np.searchsorted(at, empty, side="right") - 1, minlength=len(sizes)).astype(sizes.dtype)
+        keep = np.ones(len(words), dtype=bool)
+        keep[empty] = False
+        words = words.filter(pa.array(keep))
+    return words, sizes.astype(np.int64)
+
+
+def _parts(column: pa.Array, rows: int, most: int):
+    """Parts of a multiple of `rows` texts, of which all but the last `rows` have under `most` bytes."""
+    size = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)))
+    lo = 0
+    while lo < len(column):
+        hi = min(len(column), lo + rows)
+        while hi < len(column) and size[hi] - size[lo] < most:
+            hi = min(len(column), hi + rows)
+        yield column.slice(lo, hi - lo)
+        lo = hi
+
+
 class Vocabulary:
     """The most frequent tokens and the tail: unit (what is predicted, and what a context is), leaf and training count of each.
 
@@ -66,6 +94,7 @@ class Vocabulary:
 
     def __init__(self, tokens: list[bytes], counts: list[int], n_tokens: int, n_types: int, tail: list[tuple[int, int]] | None = None):
         self.index = {t: i for i, t in enumerate(tokens)}
+        self.head = pa.array(tokens, type=pa.large_binary())
         self.count = np.append(np.array(counts, dtype=np.int64), 0)
         n = len(tokens)
         self.other = n  # the first tail unit
@@ -108,35 +137,44 @@ class Vocabulary:
             (inside / np.maximum(groups[:, :, None], 1e-300)).reshape(-1, r),
         )
 
-    def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-        """Indexes of all tokens of the texts, each with its end; where each text begins; the words."""
-        words = [t.lower().split() for t in texts]
-        get, miss = self.index.get, len(self.count) - 1
-        sizes = np.array([len(w) + 1 for w in words])
-        out = np.empty(int(sizes.sum()), dtype=np.int64)
-        at = np.concatenate(([0], np.cumsum(sizes)))
-        end = get(END, miss)
-        for w, a, b in zip(words, at[:-1].tolist(), at[1:].tolist()):
-            out[a : b - 1] = np.fromiter(map(get, w, repeat(miss)), np.int64, b - a - 1)
-            out[b - 1] = end
+    def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Indexes of all tokens of the texts, each with its end; where each text begins; the words, without ends."""
+        words, sizes = split(texts)
+        miss = len(self.count) - 1
+        at = np.concatenate(([0], np.cumsum(sizes + 1)))
+        out = np.full(int(at[-1]), self.index.get(END, miss), dtype=np.int64)
+        inner = np.ones(len(out), dtype=bool)
+        inner[at[1:] - 1] = False
+        out[inner] = pc.fill_null(pc.index_in(words, value_set=self.head), miss).to_numpy(zero_copy_only=False)
         return out, at, words
 
-    def units(self, ids: np.ndarray, at: np.ndarray, words: list[list[bytes]]) -> np.ndarray:
-        """The unit of each token, those beyond the head in their tail units."""
-        u = self.unit.take(ids)
+    def slices(self, column: pa.Array, rows: int):
+        """tokens() of so many texts at a time; looked up in larger parts, as each look-up first reads all of the head."""
+        for part in _parts(column, rows, LOOKED_UP):
+            ids, at, words = self.tokens(common.raw_texts(part))
+            for lo in range(0, len(part), rows):
+                hi = min(len(part), lo + rows)
+                yield ids[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], words.slice(at[lo] - lo, at[hi] - hi - (at[lo] - lo))
+
+    def missing(self, ids: np.ndarray, at: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Of the words beyond the head: their places, texts and the words."""
         gone = ids == len(self.count) - 1
-        if END not in self.index:
-            gone[at[1:] - 1] = False  # ends are in the first tail unit
+        gone[at[1:] - 1] = False
         miss = np.flatnonzero(gone)
-        if len(miss) and self.tails > 1:
-            doc = np.searchsorted(at, miss, side="right") - 1
+        doc = np.searchsorted(at, miss, side="right") - 1
+        return miss, doc, words.take(pa.array(miss - doc)).to_pylist()
+
+    def units(self, ids: np.ndarray, at: np.ndarray, words: pa.Array, missing: tuple | None = None) -> np.ndarray:
+        """The unit of each token, those beyond the head in their tail units (an end in the first)."""
+        u = self.unit.take(ids)
+        if self.tails > 1:
+            miss, _, gone = missing or self.missing(ids, at, words)
             crc = zlib.crc32
             # bucket(), without a call for each word
-            codes = [crc(words[d][k][-ENDING:]) for d, k in zip(doc.tolist(), (miss - at[doc]).tolist())]
-            u[miss] = self.other + np.array(codes, dtype=np.int64) % self.tails
+            u[miss] = self.other + np.array([crc(w[-ENDING:]) for w in gone], dtype=np.int64) % self.tails
         return u
 
-    def contexts(self, ids: np.ndarray, at: np.ndarray, words: list[list[bytes]], units: np.ndarray | None = None) -> np.ndarray:
+    def contexts(self, ids: np.ndarray, at: np.ndarray, words: pa.Array, units: np.ndarray | None = None) -> np.ndarray:
         """The context ids before each token, nearest first; each text begins anew."""
         c = self.units(ids, at, words) if units is None else units
         out = np.full((CONTEXT, len(ids)), self.bos, dtype=np.int32)
@@ -427,31 +465,16 @@ def token_counts(train: DataFrame) -> DataFrame:
     schema = pa.schema([("token", pa.binary()), ("c", pa.int64())])
 
     def run(batches):
-        counts: Counter = Counter()
-
-        def flush():
-            out = common.batch_of(schema, [list(counts), list(counts.values())])
-            counts.clear()
-            return out
-
         for b in batches:
-            for raw in common.raw_texts(b.column("text")):
-                counts.update(raw.lower().split())
-                if len(counts) > HELD:
-                    yield flush()
+            for part in _parts(b.column("text"), 100, COUNTED):
+                n = split(common.raw_texts(part))[0].value_counts()
+                yield common.batch_of(schema, [n.field("values").cast(pa.binary()), n.field("counts")])
             if b.num_rows:
-                counts[END] += b.num_rows
-        if counts:
-            yield flush()
+                yield common.batch_of(schema, [[END], [b.num_rows]])
 
     return common.written(common.map_arrow(train.select("text"), run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "token-counts")
 
 
-def _slices(column: pa.Array, rows: int = 500):
-    for lo in range(0, len(column), rows):
-        yield common.raw_texts(column.slice(lo, rows))
-
-
 def sharded(train: DataFrame, shards: int) -> DataFrame:
     """The texts by shard (a partition each), in the order of their hashes. A row that is repeated so often that it fills a shard is dealt to several."""
     if shards > 1:
@@ -475,7 +498,7 @@ def averaged(train: DataFrame, vocabulary, start: np.ndarray, n_tokens: int) ->
     def run(batches):
         v, flat = sent.value
         model = Model(v, flat=flat)
-        n = train_on(model, v, (v.tokens(t) for b in batches for t in _slices(b.column("text"))), TaskContext.get().partitionId() + 1)
+        n = train_on(model, v, (t for b in batches for t in v.slices(b.column("text"), 500)), TaskContext.get().partitionId() + 1)
         if n:
             flat = model.parameters()
             for k, lo in enumerate(range(0, len(flat), PIECE)):
@@ -550,24 +573,30 @@ def score(docs: DataFrame, fit: bool = True) -> DataFrame:
     def run(batches):
         v, flat = sent.value
         m, pid, row = None if flat is None else Model(v, flat=flat), TaskContext.get().partitionId(), 0
-        logs, miss = np.log10(v.count + 1.0), len(v.count) - 1
+        logs = np.log10(v.count + 1.0)
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                s = b.slice(lo, 1000)
-                ids, at, words = v.tokens(common.raw_texts(s.column("text")))
+            lo = 0
+            for ids, at, words in v.slices(b.column("text"), 1000):
+                missing = v.missing(ids, at, words)
                 log_c, p = logs.take(ids), np.zeros(len(ids))
                 if m is not None:
-                    unit = v.units(ids, at, words)
+                    unit = v.units(ids, at, words, missing)
                     p = m.log10(v.contexts(ids, at, words, unit), v.place.take(unit))
                     p -= v.share_log.take(unit)  # a tail word's count, the other part of its share, comes by the join below
                 first = at[:-1]
                 n = np.diff(at)
+                s = b.slice(lo, len(n))
+                lo += len(n)
                 known = np.add.reduceat((v.count[ids] > 0).astype(np.int64), first)
-                gone = ids == miss
-                tails = []
-                for w, a, z in zip(words, at[:-1].tolist(), at[1:].tolist()):
-                    t = Counter([w[k] for k in np.flatnonzero(gone[a : z - 1]).tolist()])
-                    tails.append([{"token": k, "tf": c} for k, c in t.items()])
+                _, doc, gone = missing
+                ends = np.searchsorted(doc, np.arange(len(n) + 1)).tolist()
+                token, tf, sizes = [], [], [0]
+                for a, z in zip(ends, ends[1:]):
+                    t = Counter(gone[a:z])
+                    token.extend(t)
+                    tf.extend(t.values())
+                    sizes.append(len(token))
+                tails = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array(token, pa.binary()), pa.array(tf, pa.int64())], fields=list(tail_t)))
                 yield common.batch_of(
                     schema,
                     [np.full(len(n), pid, np.int32), np.arange(row, row + len(n)), s.column("doc_id"), s.column("held_out"), n, known, np.add.reduceat(log_c, first) - n * v.base_log, np.add.reduceat(p, first), tails],

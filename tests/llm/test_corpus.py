@@ -493,6 +493,20 @@ def test_lm_sums_of_equal_rows(monkeypatch):
     assert np.allclose(grad, sums[at], atol=1e-5)
 
 
+def test_lm_words_are_those_of_bytes_split(monkeypatch):
+    """Words cut by Arrow are those of bytes.lower().split(), and texts looked up together have the tokens that each has alone."""
+    rng = random.Random(3)
+    pieces = [b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"\x1c", b"\x00", "\u00a0".encode(), "É".encode(), b"A", b"z"]
+    texts = [b"".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(400)]
+    words, sizes = lm.split(texts)
+    plain = [t.lower().split() for t in texts]
+    assert words.to_pylist() == [w for x in plain for w in x] and sizes.tolist() == [len(x) for x in plain]
+    v = lm.Vocabulary([b"", b"a", b"z"], [400, 9, 8], 1000, 50, [(300, 20), (283, 27)])
+    monkeypatch.setattr(lm, "LOOKED_UP", 900)
+    got = [v.units(ids, at, w).tolist() for ids, at, w in v.slices(pa.array([t.decode() or None for t in texts]), 1)]
+    assert got == [[v.index[w] if w in v.index else v.other + lm.bucket(w, 2) for w in x] + [0] for x in plain]
+
+
 def test_pipeline(spark, sf):
     """run() against its stages' brute-force versions."""
     pipeline = pytest.importorskip("corpus_pipeline")
