@@ -47,6 +47,11 @@ SMALL_LOG = 100_000
 FREQUENT = 1e-3
 
 
+def few(terms: DataFrame) -> DataFrame:
+    """terms to be broadcast if they are at most SMALL_LOG."""
+    return F.broadcast(terms) if terms.limit(SMALL_LOG + 1).count() <= SMALL_LOG else terms
+
+
 def bucket_of(term: str | Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
@@ -92,8 +97,8 @@ class Index:
         return table.where(F.col("bucket").isin(wanted)) if len(wanted) < self.buckets else table
 
     def hits(self, terms: DataFrame, table: DataFrame | None = None) -> DataFrame:
-        """The rows of terms(term), whatever else they have."""
-        return self.pruned(terms, table).join(terms.select("term").distinct(), "term", "left_semi")
+        """The rows of terms(term), whatever else they have; the terms are broadcast if they are few, so no posting is moved."""
+        return self.pruned(terms, table).join(few(terms.select("term").distinct()), "term", "left_semi")
 
     def scorable(self, postings: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
         """Postings with all that a scorer reads. The one-row constants meet the lexicon, not the postings.
@@ -115,8 +120,9 @@ class Index:
     def scored_hits(self, name: str, terms: DataFrame) -> DataFrame:
         """term, doc_id, score of the terms of terms(term) alone; their statistics are broadcast if they are few."""
         asked = terms.select("term").distinct()
-        known = self.lexicon.join(asked, "term", "left_semi")
-        if asked.count() <= SMALL_LOG:
+        small = asked.count() <= SMALL_LOG
+        known = self.lexicon.join(F.broadcast(asked) if small else asked, "term", "left_semi")
+        if small:
             known = F.broadcast(known.select("term", "df", "cf").crossJoin(F.broadcast(self.constants())))
             return self.pruned(asked).join(known, "term").select("term", "doc_id", scorer(name).alias("score"))
         return self.scorable(self.hits(asked), known).select("term", "doc_id", scorer(name).alias("score"))

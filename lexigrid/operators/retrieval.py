@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexigrid.functions.analysis import stem_column
-from lexigrid.functions.scoring import scorer
+from lexigrid.operators import daat
 from lexigrid.operators.index import Index
-from lexigrid.sources.store import ship
+from lexigrid.sources.store import ship, written
 
 
 def bag(queries: DataFrame) -> DataFrame:
@@ -23,11 +23,27 @@ def bag(queries: DataFrame) -> DataFrame:
 
 
 def accumulate(queries: DataFrame, scored: DataFrame, value: str = "score") -> DataFrame:
-    """qid, doc_id, score: the sum over the query's terms of weight times value; documents without a hit have no row."""
-    hits = bag(queries).join(scored, "term")
+    """qid, doc_id, score: the sum over the query's terms of weight times value; documents without a hit have no row.
+
+    Postings are dealt by document (daat); only for a log of over daat.SMALL_BAG rows each pair of a posting and a query is one.
+    """
+    weights = bag(queries)
+    if (log := _small(weights, scored)) is not None:
+        return daat.sums(log, scored, value)
+    hits = weights.join(scored, "term")
     return hits.groupBy("qid", "doc_id").agg(F.sum(F.col("weight") * F.col(value)).alias("score"))
 
 
+def _small(weights: DataFrame, scored: DataFrame) -> daat.Log | None:
+    return daat.Log.of(weights) if daat.integral(scored, "doc_id") else None
+
+
+def best(queries: DataFrame, scored: DataFrame, k: int, value: str = "score") -> DataFrame:
+    """The top-k of accumulate(): each task gives its own k best of a query, and these alone meet."""
+    log = _small(bag(queries), scored)
+    return top_k(accumulate(queries, scored, value) if log is None else daat.best(log, scored, value, k), k)
+
+
 def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("qid",), places: int | None = 6) -> DataFrame:
     """The k best per query with rank from 0: score falling, then doc_id; scores of 0 never. places: digits that count in the comparison."""
     s = scores.withColumn("score", F.round("score", places)) if places is not None else scores
@@ -49,8 +65,8 @@ def search(index: Index, queries: DataFrame, k: int = 10, score: str = "bm25", s
     if "-" in score:
         if score not in index.scores:
             raise ValueError(f"scores {score!r} aren't loaded; there are {sorted(index.scores)}")
-        return top_k(accumulate(queries, index.hits(queries, index.scores[score]), "q"), k)
-    return top_k(accumulate(queries, index.scored_hits(score, queries)), k)
+        return best(queries, index.hits(queries, index.scores[score]), k, "q")
+    return best(queries, index.scored_hits(score, queries), k)
 
 
 @dataclass
@@ -114,8 +130,10 @@ def pruned_search(index: Index, queries: DataFrame, stats: DataFrame, k: int, sc
     kth = asked.select("term", (F.try_element_at("top", F.lit(k)) if "top" in stats.columns else F.lit(None).cast("double")).alias("kth"))
     low = bag(queries).join(kth, "term").groupBy("qid").agg(F.max(F.col("weight") * F.col("kth")).alias("threshold")).withColumn("threshold", F.col("threshold") - slack)
     needed = essential_terms(queries, asked, low).select("qid", "term", "essential")
-    weights = bag(queries).join(needed, ["qid", "term"])
-    hits = weights.join(index.scored_hits(score, queries), "term")
+    weights, scored = bag(queries).join(needed, ["qid", "term"]), index.scored_hits(score, queries)
+    if (log := _small(weights, scored)) is not None:
+        return top_k(daat.best(log, scored, "score", k), k)
+    hits = weights.join(scored, "term")
     sums = hits.groupBy("qid", "doc_id").agg(F.sum(F.col("weight") * F.col("score")).alias("score"), F.max("essential").alias("essential"))
     return top_k(sums.where("essential").drop("essential"), k)
 
@@ -127,7 +145,9 @@ def thresholds(results: DataFrame, k: int) -> DataFrame:
 
 def count_above(scores: DataFrame, limits: DataFrame) -> DataFrame:
     """qid, documents whose score reaches the query's threshold; limits(qid, threshold)."""
-    s = scores.withColumn("score", F.round("score", 6)).join(limits, "qid").where(F.col("score") >= F.col("threshold"))
+    limits = written(limits, "limits")  # read twice
+    # rounding is dear, and moves a score by one unit at most
+    s = scores.join(F.broadcast(limits), "qid").where(F.col("score") >= F.col("threshold") - 2e-6).where(F.round("score", 6) >= F.col("threshold"))
     return limits.select("qid").join(s.groupBy("qid").agg(F.count("*").alias("documents")), "qid", "left").select("qid", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
@@ -135,8 +155,10 @@ def score_at_a_time(queries: DataFrame, scored: DataFrame, k: int, share: float,
     """Top-k from the query's best ceil(share n) postings alone (score falling, then doc_id and term).
 
     A histogram of scores in steps of `width` tells the step in which the query's last posting lies; those above
-    are taken whole, and only that step's are ranked.
+    are taken whole. Within it daat.best_postings() counts on; only for a large log that step's postings are ranked.
     """
+    if (log := _small(bag(queries), scored)) is not None:
+        return top_k(daat.best_postings(log, scored, "score", k, share, places, width), k, places=places)
     hits = bag(queries).join(scored, "term").select("qid", "term", "doc_id", F.round(F.col("weight") * F.col("score"), places).alias("score"))
     hits = hits.withColumn("bin", F.floor(F.col("score") / width))
     bins = hits.groupBy("qid", "bin").agg(F.count("*").alias("n"))
