@@ -44,6 +44,12 @@ def best(queries: DataFrame, scored: DataFrame, k: int, value: str = "score") ->
     return top_k(accumulate(queries, scored, value) if log is None else daat.best(log, scored, value, k), k)
 
 
+def prefix_best(queries: DataFrame, scored: DataFrame, docmap: DataFrame, k: int, value: str = "score") -> DataFrame:
+    """Rows of accumulate() (scores rounded), among them each that is one of its query's k best of the documents up to its rank in docmap(doc_id, rank)."""
+    log = _small(bag(queries), scored)
+    return accumulate(queries, scored, value) if log is None else daat.prefix_best(log, scored, value, docmap, k)
+
+
 def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("qid",), places: int | None = 6) -> DataFrame:
     """The k best per query with rank from 0: score falling, then doc_id; scores of 0 never. places: digits that count in the comparison."""
     s = scores.withColumn("score", F.round("score", places)) if places is not None else scores
