@@ -42,9 +42,8 @@ def collection_properties(sizes: DataFrame) -> DataFrame:
 
 #: Terms up to which a query log's statistics are broadcast: some megabytes.
 SMALL_LOG = 100_000
-#: A term of more documents than this share of all is frequent. A document has few of all terms, so there are at most
-#: 1 / FREQUENT times the distinct terms of a mean document of them, however large the collection is.
-FREQUENT = 1e-3
+#: Terms by falling number of documents whose statistics are broadcast when the whole index is scored: some tens of megabytes.
+WIDE = 200_000
 
 
 def few(terms: DataFrame) -> DataFrame:
@@ -79,6 +78,7 @@ class Index:
     scores: dict[str, DataFrame] = field(default_factory=dict)
     stats: dict[str, DataFrame] = field(default_factory=dict)
     buckets: int = 0
+    _cut: int | None = field(default=None, init=False, repr=False)
 
     @property
     def spark(self) -> SparkSession:
@@ -103,15 +103,27 @@ class Index:
     def scorable(self, postings: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
         """Postings with all that a scorer reads. The one-row constants meet the lexicon, not the postings.
 
-        Of the whole index, frequent terms' statistics are broadcast (FREQUENT bounds their number), so their
-        postings stay where they are and no task has all of a term's; the others are joined by term.
+        Of the whole index, the WIDE most frequent terms' statistics are broadcast, so their postings stay where they
+        are and no task has all of a term's; only the others' postings, few of all, are moved and joined by term.
         """
         terms = (self.lexicon if lexicon is None else lexicon).select("term", "df", "cf").crossJoin(F.broadcast(self.constants()))
         if postings is not None:
             return postings.join(terms, "term")
-        often = F.col("df") > F.greatest(F.lit(1000), F.col("n") * FREQUENT)
+        often = F.col("df") > self.cut()
         frequent = F.broadcast(terms.where(often))
-        return self.postings.join(frequent, "term").unionByName(self.postings.join(terms.where(~often), "term"))
+        if not self.cut():
+            return self.postings.join(frequent, "term")
+        rest = self.postings.join(F.broadcast(terms.where(often).select("term")), "term", "left_anti")
+        return self.postings.join(frequent, "term").unionByName(rest.join(terms.where(~often), "term"))
+
+    def cut(self) -> int:
+        """The least number of documents that at most WIDE terms exceed; a row for each number of documents is counted."""
+        if self._cut is None:
+            sizes = self.lexicon.groupBy("df").agg(F.count("*").alias("terms"))
+            above = F.coalesce(F.sum("terms").over(Window.orderBy(F.desc("df")).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+            over = sizes.withColumn("above", above).where(F.col("above") > WIDE).agg(F.max("df").alias("df")).first().df
+            self._cut = over or 0
+        return self._cut
 
     def scored(self, name: str = "bm25", postings: DataFrame | None = None) -> DataFrame:
         """term, doc_id, score"""
