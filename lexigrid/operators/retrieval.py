@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from lexigrid.functions.analysis import stem_column
 from lexigrid.operators import daat
-from lexigrid.operators.index import Index
+from lexigrid.operators.index import SMALL_LOG, Index
 from lexigrid.sources.store import ship, written
 
 
@@ -177,8 +177,12 @@ def score_at_a_time(queries: DataFrame, scored: DataFrame, k: int, share: float,
 
 
 def rescore(index: Index, candidates: DataFrame, queries: DataFrame, score: str = "bm25") -> DataFrame:
-    """qid, doc_id, score of candidates(qid, doc_id), exact."""
-    wanted = bag(queries).join(index.scored_hits(score, queries), "term").join(candidates.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_semi")
+    """qid, doc_id, score of candidates(qid, doc_id), exact; postings of other documents are left out before queries meet them."""
+    candidates = written(candidates.select("qid", "doc_id").distinct(), "candidates")  # read twice, and dear
+    docs = candidates.select("doc_id").distinct()
+    few = docs.limit(SMALL_LOG + 1).count() <= SMALL_LOG
+    scored = index.scored_hits(score, queries).join(F.broadcast(docs) if few else docs, "doc_id", "left_semi")
+    wanted = bag(queries).join(scored, "term").join(candidates, ["qid", "doc_id"], "left_semi")
     return wanted.groupBy("qid", "doc_id").agg(F.sum(F.col("weight") * F.col("score")).alias("score"))
 
 
